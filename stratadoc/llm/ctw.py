@@ -8,7 +8,8 @@ Krichevsky-Trofimov estimate, and the weighted probability
 
 so that predicting along a path mixes the estimates of all depths. A path ends at the
 deepest context seen in training. The sum over a text's bytes and its end is its code
-length; 0xFF, which UTF-8 never uses, stands before its beginning and for its end.
+length; 0xFF, which UTF-8 never uses, stands before its beginning and for its end. As
+for the words of the base score, A-Z are lower-cased first.
 
 The counts are those of all distinct grams of DEPTH + 1 bytes, so their number follows
 the corpus, and they stay distributed: grams are grouped by the two bytes before the
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .base import checkpoint_folder, texts
 
-DEPTH = 5
+DEPTH = 6
 _END = 0xFF
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text among the words; no word holds a blank.
@@ -169,7 +170,7 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
 
 
 def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, gram, word, n) for the distinct grams and words of each block, n counted over its training rows."""
+    """(block, gram, word, n) for the distinct grams (word null) and words (gram 0) of each block, n counted over its training rows."""
     schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
     grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     words: dict[int, Counter] = {}
@@ -190,7 +191,7 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams[block] = [merged(parts)]
         own = words.setdefault(block, Counter())
         for r in raws:
-            found = _WORD.findall(r.lower())
+            found = _WORD.findall(r)
             found.append(_STOP)
             if train:
                 own.update(found)
@@ -200,7 +201,7 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in held:
         for block, train, text in zip(b.column("block").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
-            raw = text.as_py().encode()
+            raw = text.as_py().encode().lower()
             waiting.setdefault((block, train), []).append(raw)
             size[block, train] += len(raw) + 1 + DEPTH
             if size[block, train] >= _STEP:
@@ -215,12 +216,12 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted(words[block].items())
         for i in range(0, len(own), 200_000):
             part = own[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
 
 
 def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-    is_gram = got["gram"].notna().to_numpy()
-    key = got["gram"].to_numpy()[is_gram].astype(np.int64).view(np.uint64)
+    is_gram = got["word"].isna().to_numpy()
+    key = got["gram"].to_numpy(np.int64)[is_gram].view(np.uint64)
     value = got["value"].to_numpy(np.float64)
     order = np.argsort(key)
     key, gram_value = key[order], value[is_gram][order]
@@ -232,13 +233,13 @@ def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     while i < len(texts_):
         raws, size = [], 0
         while i < len(texts_) and size < _STEP:
-            raws.append(texts_[i].encode())
+            raws.append(texts_[i].encode().lower())
             size += len(raws[-1])
             i += 1
         code, start = _grams(raws)
         total.append(np.add.reduceat(gram_value[np.searchsorted(key, code)], start))
         for r in raws:
-            found = _WORD.findall(r.lower())
+            found = _WORD.findall(r)
             found.append(_STOP)
             v = np.fromiter(map(of_word.__getitem__, found), np.float64, len(found))
             n_tokens.append(len(v))
@@ -266,7 +267,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> Dat
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     asked.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).write.parquet(folder)
     counts = spark.read.parquet(folder)
-    grams, words = counts.where("gram is not null"), counts.where("word is not null")
+    grams, words = counts.where("word is null"), counts.where("word is not null")
     told = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, v_train = told["n"] or 0, told["v"] or 0
 
@@ -284,9 +285,8 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> Dat
         return pd.DataFrame({"gram": pdf["gram"], "value": code_lengths(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), held.value), "blocks": pdf["blocks"]})
 
     priced = grams.select("gram", "n", "blocks", two).groupBy("two").applyInPandas(price, "gram long, value double, blocks array<long>")
-    none = F.lit(None)
-    answers = priced.select(F.explode("blocks").alias("block"), "gram", none.cast("binary").alias("word"), "value").unionByName(
-        words.select(F.explode("blocks").alias("block"), none.cast("long").alias("gram"), "word", F.log10(F.col("n") + 0.5).alias("value"))
+    answers = priced.select(F.explode("blocks").alias("block"), "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
+        words.select(F.explode("blocks").alias("block"), F.lit(0).cast("long").alias("gram"), "word", F.log10(F.col("n") + 0.5).alias("value"))
     )
     out = d.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
