@@ -144,16 +144,30 @@ def _names(t: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each position, how many symbols it shares with the suffix before it in the array, up to `most`."""
+    """Permuted: for each position, how many symbols it shares with the suffix before it in the array, up to `most`.
+
+    Symbols are compared in packs where they are small enough for that, then one by one.
+    """
     n = len(t)
     out = np.zeros(n, np.int64)
     a, b = sa[1:], sa[:-1]
-    padded = np.concatenate([t, np.full(most + 8, -1, t.dtype)])
-    left = np.arange(n - 1)
-    for k in range(most):
-        hit = padded[a[left] + k] == padded[b[left] + k]
-        left = left[hit]
-        if not len(left):
-            break
-        out[a[left]] = k + 1
+    padded = np.concatenate([t, np.zeros(most + 8, t.dtype)]).astype(np.int64)
+    bits = max(1, int(t.max()).bit_length()) if n else 1
+    pack = max(1, min(62 // bits, most))
+    packed = np.zeros(len(padded) - pack + 1, np.int64)
+    for k in range(pack):
+        packed = (packed << bits) | padded[k : len(packed) + k]
+    left, k, rest = np.arange(n - 1), 0, []
+    while k + pack <= most and len(left):
+        hit = packed[a[left] + k] == packed[b[left] + k]
+        rest.append((left[~hit], k))
+        left, k = left[hit], k + pack
+    rest.append((left, k))
+    for left, k in rest:
+        while len(left):
+            out[a[left]] = k
+            if k == most:
+                break
+            left = left[padded[a[left] + k] == padded[b[left] + k]]
+            k += 1
     return out

@@ -10,9 +10,10 @@
    one shuffle by anchor.
 3. Equal anchors in different surroundings share some strings and not others. The first
    place of each kind is cut into halves keyed by the anchor and its next bytes on
-   either side; halves whose key occurs once are done. The others go to shards, and a
-   shard's suffix array with its permuted common prefixes shows which of their strings
-   of `length` bytes are equal; all but the first are marked.
+   either side; halves whose key occurs once are done. Of halves with the same bytes all
+   but the first are marked whole; where a key has different halves, the first of each
+   go to shards, and a shard's suffix array with its permuted common prefixes shows which
+   of their strings of `length` bytes are equal; all but the first are marked.
 4. The marks of a document are merged and its text is cut.
 
 Every place in the corpus is compared with every other through the anchors; nothing
@@ -29,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import checkpoint, maybe_broadcast, shuffle_partitions, texts
+from .base import checkpoint, shuffle_partitions, texts
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
 _BUFFER = 4 << 20
 _FLUSH = 2_000_000
-#: Rows (of a few numbers each) that may be broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A random word for each byte, and the odd base and its inverse for hashes of strings.
 _WORD = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -314,12 +313,19 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
             F.when(~F.col("mark") & ~F.col("same"), F.col("at")).alias("at"),
         )
     )
-    asked = rows.where("at is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"), F.count("*").alias("n"))
+    asked = rows.where("at is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"))
     n = rows.where("at is not null").count()
-    halves = t.join(maybe_broadcast(asked.select("doc_id", "places"), n, MOST_BROADCAST), "doc_id").mapInArrow(_halves(length), "key long, doc_id long, at long, bytes binary")
-    shards = max(shuffle_partitions(docs.sparkSession), n * 2 * length // (4 * shard_bytes))
-    halves = halves.repartition(shards, "key").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "doc_id", "at", "bytes").sortWithinPartitions("key")
-    marks = rows.where("start is not null").select("doc_id", "start", "end").unionByName(halves.mapInArrow(_sort_shards(length, shard_bytes), "doc_id long, start long, end long"))
+    shards = max(shuffle_partitions(docs.sparkSession), n * 2 * length // (16 * shard_bytes))
+    alike = Window.partitionBy("key", "bytes")
+    of_key = Window.partitionBy("key")
+    halves = t.join(asked, "doc_id").mapInArrow(_halves(length), "key long, doc_id long, at long, bytes binary").repartition(shards, "key")
+    halves = checkpoint(
+        halves.withColumns({"first": F.min(place).over(alike), "least": F.min("bytes").over(of_key), "most": F.max("bytes").over(of_key)})
+        .select("key", "doc_id", "at", (place != F.col("first")).alias("again"), (F.col("least") != F.col("most")).alias("mixed"), F.length("bytes").alias("n"), F.when((place == F.col("first")) & (F.col("least") != F.col("most")), F.col("bytes")).alias("bytes"))
+        .where("(again and n >= {0}) or (mixed and not again)".format(length))
+    )
+    twins = halves.where("again").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
+    sorted_ = halves.where("not again").repartition(shards, "key").sortWithinPartitions("key", "doc_id", "at").select("key", "doc_id", "at", "bytes")
+    marks = rows.where("start is not null").select("doc_id", "start", "end").unionByName(twins).unionByName(sorted_.mapInArrow(_sort_shards(length, shard_bytes), "doc_id long, start long, end long"))
     marks = checkpoint(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
-    m = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    return t.join(maybe_broadcast(marks, m, MOST_BROADCAST), "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return t.join(marks, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
