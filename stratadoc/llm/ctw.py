@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from .base import checkpoint_folder, texts
 
-DEPTH = 6
+DEPTH = 5
 _END = 0xFF
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text among the words; no word holds a blank.
 _STOP = b" "
-_STEP = 4 << 20
+_STEP = 1 << 20
+#: Words of a block that a task holds before it sends on what it has.
+_MOST_WORDS = 150_000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,32 +201,72 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in found:
                     own.setdefault(w, 0)
 
+    def told(block: int) -> Iterator[pa.RecordBatch]:
+        key, n = merged(grams.pop(block))
+        for i in range(0, len(key), 100_000):
+            k = len(key[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(key[i : i + k].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[i : i + k])], schema=schema)
+        own = sorted(words.pop(block).items())
+        for i in range(0, len(own), 100_000):
+            part = own[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
+
+    at = None
     for b in held:
         for block, train, text in zip(b.column("block").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
+            if block != at:  # rows come sorted by block
+                for key in list(waiting):
+                    take(*key)
+                if at in grams:
+                    yield from told(at)
+                at = block
             raw = text.as_py().encode().lower()
             waiting.setdefault((block, train), []).append(raw)
             size[block, train] += len(raw) + 1 + DEPTH
             if size[block, train] >= _STEP:
                 take(block, train)
+                if len(words[block]) > _MOST_WORDS:
+                    yield from told(block)
     for key in list(waiting):
         take(*key)
-    for block in grams:
-        key, n = merged(grams[block])
-        for i in range(0, len(key), 200_000):
-            k = len(key[i : i + 200_000])
-            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(key[i : i + k].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[i : i + k])], schema=schema)
-        own = sorted(words[block].items())
-        for i in range(0, len(own), 200_000):
-            part = own[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
+    for block in list(grams):
+        yield from told(block)
+
+
+class Slots:
+    """A table of values by gram, open-addressed, so that a lookup touches one place or two."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        size = 1 << self.bits
+        self.key, self.value = np.full(size, (1 << 64) - 1, np.uint64), np.zeros(size)
+        left, at = np.arange(len(key)), self._at(key)
+        while len(left):
+            free = self.key[at] == np.uint64((1 << 64) - 1)
+            self.key[at[free]] = key[left[free]]
+            mine = self.key[at] == key[left]
+            self.value[at[mine]] = value[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & (size - 1)
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        at = self._at(key)
+        left = np.flatnonzero(self.key[at] != key)
+        while len(left):
+            if (self.key[at[left]] == np.uint64((1 << 64) - 1)).any():
+                raise KeyError("a gram that was not asked for")
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            left = left[self.key[at[left]] != key[left]]
+        return self.value[at]
 
 
 def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     is_gram = got["word"].isna().to_numpy()
     key = got["gram"].to_numpy(np.int64)[is_gram].view(np.uint64)
     value = got["value"].to_numpy(np.float64)
-    order = np.argsort(key)
-    key, gram_value = key[order], value[is_gram][order]
+    of_gram = Slots(key, value[is_gram])
     of_word = dict(zip(got["word"].to_numpy()[~is_gram], value[~is_gram], strict=True))
     known = math.log10(1.0)  # log10(c + 0.5) is above it for c > 0 only
     total, n_tokens, n_known, base = [], [], [], []
@@ -237,7 +279,7 @@ def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             size += len(raws[-1])
             i += 1
         code, start = _grams(raws)
-        total.append(np.add.reduceat(gram_value[np.searchsorted(key, code)], start))
+        total.append(np.add.reduceat(of_gram.of(code), start))
         for r in raws:
             found = _WORD.findall(r)
             found.append(_STOP)
@@ -249,7 +291,7 @@ def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
 
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20, groups: int = 256) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs (doc_id, text).
 
     held_out: true for rows that nothing is learnt from (null: false). score: log10
@@ -257,15 +299,16 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> Dat
     its words and end, A-Z lower-cased, each with add-half counts over the training
     words. A null or empty text is its end alone. Without training rows each bit has
     probability one half. Repeated rows stay and count each; an empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. groups: tasks' worth of subtrees, at most
+    65536, each a hash class of the two bytes before the predicted one.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     d = texts(docs).withColumns({"train": ~F.coalesce(held_out, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks))})
-    asked = d.repartition("block").mapInArrow(_asked, "block long, gram long, word binary, n long")
+    asked = d.repartition("block").sortWithinPartitions("block").mapInArrow(_asked, "block long, gram long, word binary, n long")
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    asked.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")).write.parquet(folder)
+    asked.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).write.parquet(folder)
     counts = spark.read.parquet(folder)
     grams, words = counts.where("word is null"), counts.where("word is not null")
     told = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
@@ -275,16 +318,16 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20) -> Dat
         level = _subtree(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), 2)[-1]
         return pd.DataFrame({"node": (level.key & np.uint64(0xFFFF)).view(np.int64), "a": level.a, "b": level.b, "pw": level.pw})
 
-    two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")
+    two = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(groups)).alias("two")
     upper = grams.where("n > 0").select("gram", "n", two).groupBy("two").applyInPandas(bottom, "node long, a double, b double, pw double")
     upper = upper.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toPandas()  # at most 256 * 255 rows
     top = Top(upper["node"].to_numpy(np.int64).view(np.uint64), *(upper[c].to_numpy(np.float64) for c in ("a", "b", "pw")))
     held = spark.sparkContext.broadcast(top)
 
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": pdf["gram"], "value": code_lengths(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), held.value), "blocks": pdf["blocks"]})
+        return pd.DataFrame({"gram": pdf["gram"], "value": code_lengths(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), held.value)})
 
-    priced = grams.select("gram", "n", "blocks", two).groupBy("two").applyInPandas(price, "gram long, value double, blocks array<long>")
+    priced = grams.select("gram", "n", two).groupBy("two").applyInPandas(price, "gram long, value double").join(grams.select("gram", "blocks"), "gram")
     answers = priced.select(F.explode("blocks").alias("block"), "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
         words.select(F.explode("blocks").alias("block"), F.lit(0).cast("long").alias("gram"), "word", F.log10(F.col("n") + 0.5).alias("value"))
     )
