@@ -41,8 +41,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text among the words; no word holds a blank.
 _STOP = b" "
 _STEP = 1 << 20
-#: Words of a block that a task holds before it sends on what it has.
-_MOST_WORDS = 150_000
+#: Words and grams of a block that a task holds before it sends them on.
+_MOST_WORDS, _MOST_GRAMS = 150_000, 8_000_000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +180,11 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size: Counter = Counter()
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return key, np.bincount(at, weights=np.concatenate([n for _, n in parts]).astype(np.float64), minlength=len(key)).astype(np.int64)
+        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")  # the parts are sorted, which this sort makes use of
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first], np.add.reduceat(n, first)
 
     def take(block: int, train: bool) -> None:
         raws = waiting.pop((block, train))
@@ -189,7 +192,7 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n = np.unique(_grams(raws)[0], return_counts=True)
         parts = grams.setdefault(block, [])
         parts.append((key, n if train else np.zeros(len(key), np.int64)))
-        if len(parts) >= 4:
+        if len(parts) >= 8:
             grams[block] = [merged(parts)]
         own = words.setdefault(block, Counter())
         for r in raws:
@@ -201,11 +204,13 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for w in found:
                     own.setdefault(w, 0)
 
-    def told(block: int) -> Iterator[pa.RecordBatch]:
+    def told_grams(block: int) -> Iterator[pa.RecordBatch]:
         key, n = merged(grams.pop(block))
         for i in range(0, len(key), 100_000):
             k = len(key[i : i + 100_000])
             yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(key[i : i + k].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[i : i + k])], schema=schema)
+
+    def told_words(block: int) -> Iterator[pa.RecordBatch]:
         own = sorted(words.pop(block).items())
         for i in range(0, len(own), 100_000):
             part = own[i : i + 100_000]
@@ -218,7 +223,9 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for key in list(waiting):
                     take(*key)
                 if at in grams:
-                    yield from told(at)
+                    yield from told_grams(at)
+                if at in words:
+                    yield from told_words(at)
                 at = block
             raw = text.as_py().encode().lower()
             waiting.setdefault((block, train), []).append(raw)
@@ -226,11 +233,15 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size[block, train] >= _STEP:
                 take(block, train)
                 if len(words[block]) > _MOST_WORDS:
-                    yield from told(block)
+                    yield from told_words(block)
+                if sum(len(k) for k, _ in grams[block]) > _MOST_GRAMS:
+                    yield from told_grams(block)
     for key in list(waiting):
         take(*key)
     for block in list(grams):
-        yield from told(block)
+        yield from told_grams(block)
+    for block in list(words):
+        yield from told_words(block)
 
 
 class Slots:
