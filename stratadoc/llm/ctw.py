@@ -279,6 +279,7 @@ def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
     value = got["value"].to_numpy(np.float64)
     of_gram = Slots(key, value[is_gram])
     of_word = dict(zip(got["word"].to_numpy()[~is_gram], value[~is_gram], strict=True))
+    del is_gram, key, value, got
     known = math.log10(1.0)  # log10(c + 0.5) is above it for c > 0 only
     total, n_tokens, n_known, base = [], [], [], []
     texts_ = mine["text"].to_list()
@@ -302,7 +303,7 @@ def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
 
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 32 << 20, groups: int = 256) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups: int = 256) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs (doc_id, text).
 
     held_out: true for rows that nothing is learnt from (null: false). score: log10
