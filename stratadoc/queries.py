@@ -521,6 +521,31 @@ def content_type_gaps(spark, sf_dir):
     return validate.content_gaps(rows(spark, PARTS), rows(spark, OVERRIDES), rows(spark, DEFAULTS))
 
 
+ABSTRACT = "(values (1,1,0,cast(null as varchar(20))),(1,1,1,null),(1,2,0,null),(1,3,0,'multilevel'),(1,3,1,'multilevel'),(2,1,0,null)) as a(doc_id, abstract_id, level, multi_level_type)"
+
+
+@query(f"select doc_id, abstract_id from {ABSTRACT} group by all having count(*) > 1 and max(multi_level_type) is null")
+def numbering_without_type(spark, sf_dir):
+    return validate.levels_without_type(rows(spark, ABSTRACT))
+
+
+NUM_USES = "(values (1,4,'1'),(1,5,'9'),(1,6,cast(null as varchar(9))),(2,1,'7'),(3,1,'2')) as u(doc_id, para_seq, num_id)"
+NUMS = "(values (1,'1',1),(1,'4',2),(3,'1',1)) as n(doc_id, num_id, abstract_id)"
+
+
+@query(f"select u.doc_id, u.para_seq, u.num_id from {NUM_USES} where num_id is not null and doc_id in (select doc_id from {NUMS}) and not exists (select 1 from {NUMS} where n.doc_id = u.doc_id and n.num_id = u.num_id)")
+def unknown_numbering(spark, sf_dir):
+    return validate.unknown_references(rows(spark, NUM_USES).where("num_id is not null"), rows(spark, NUMS).select("doc_id", "num_id"), "num_id").select("doc_id", "para_seq", "num_id")
+
+
+PATTERNS = "(values ('%1.'), ('%1. '), ('%1.  '), (' %1'), ('')) as t(lvl_text)"
+
+
+@query(f"select lvl_text, case length(lvl_text) - length(rtrim(lvl_text, ' ')) when 0 then 'nothing' when 1 then 'space' else 'tab' end as suff, rtrim(lvl_text, ' ') as effective from {PATTERNS}")
+def numbering_gap(spark, sf_dir):
+    return rows(spark, PATTERNS).select("lvl_text", counters.gap(F.col("lvl_text")).alias("suff"), F.rtrim("lvl_text").alias("effective"))
+
+
 HEADINGS = "(values (1,1,1),(1,5,2),(1,9,4),(1,12,1),(2,3,2),(2,4,3)) as t(doc_id, para_seq, level)"
 
 
