@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(styles: DataFrame, most_levels: int = 10) -> DataFrame:
-    """(style, ancestor, depth, cyclic): each style with itself and its ancestors, nearest first.
+def closure(styles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, style, ancestor, depth, cyclic): each style with itself and its ancestors, nearest first, inside one document of the keys `by`.
 
-    A chain ends where it would meet a style again; cyclic marks that row. Chains are
-    resolved for styles, not paragraphs: the table is small next to the corpus.
+    A chain ends where it would meet a style again (cyclic marks that row) or where its
+    parent is not defined; chains have no greatest length. Chains are walked in a map of
+    one document's styles, which is bounded by the part that holds them, so a single
+    shuffle by document does it. An id defined twice has the least of its parents.
     """
-    edge = styles.select(F.col("id").alias("ancestor"), F.col("based_on").alias("next"))
-    level = styles.select(F.col("id").alias("style"), F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.array("id").alias("path"))
-    levels = [level]
-    for _ in range(most_levels):
-        up = levels[-1].join(edge, "ancestor").where("next is not null and not array_contains(path, next)")
-        levels.append(up.join(edge.select(F.col("ancestor").alias("next")), "next").select("style", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("next")).alias("path")))
-    rows = reduce(DataFrame.unionByName, levels).join(edge, "ancestor", "left")
-    return rows.select("style", "ancestor", "depth", F.coalesce(F.expr("array_contains(path, next)"), F.lit(False)).alias("cyclic"))
-
-
-def resolve(styles: DataFrame, fields: list[str], defaults: dict[str, object] | None = None, most_levels: int = 10) -> DataFrame:
-    """(id, *fields): of each field the nearest value that is set, else the default. False is a value, null is none."""
-    chain = closure(styles, most_levels).join(styles.select(F.col("id").alias("ancestor"), *fields), "ancestor")
+    keys = list(by)
+    parents = styles.where("id is not null").groupBy(*keys, "id").agg(F.min("based_on").alias("based_on"))
+    up = parents.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("id", "based_on"))).alias("up"))
+
+    def step(path: Column, _: Column) -> Column:
+        onward = F.element_at(F.col("up"), F.element_at(path, -1))
+        more = onward.isNotNull() & F.map_contains_key("up", F.coalesce(onward, F.lit(""))) & ~F.coalesce(F.array_contains(path, onward), F.lit(False))
+        return F.when(more, F.array_append(path, onward)).otherwise(path)
+
+    rows = up.select(*keys, "up", F.explode(F.map_keys("up")).alias("style"))
+    rows = rows.withColumn("path", F.aggregate(F.sequence(F.lit(1), F.size("up")), F.array("style"), step))
+    rows = rows.select(*keys, "style", "up", "path", F.posexplode("path").alias("depth", "ancestor"))
+    cyclic = F.expr("array_contains(slice(path, 1, depth + 1), element_at(up, ancestor))")
+    return rows.select(*keys, "style", "ancestor", "depth", F.coalesce(cyclic, F.lit(False)).alias("cyclic"))
+
+
+def resolve(styles: DataFrame, fields: list[str], defaults: dict[str, object] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, id, *fields): of each field the nearest value that is set, else the default. False is a value, null is none."""
+    keys = list(by)
+    chain = closure(styles, by).join(styles.select(*keys, F.col("id").alias("ancestor"), *fields), [*keys, "ancestor"])
     nearest = [F.coalesce(F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("depth"))), F.lit((defaults or {}).get(f))).alias(f) for f in fields]
-    return chain.groupBy(F.col("style").alias("id")).agg(*nearest)
+    return chain.groupBy(*keys, F.col("style").alias("id")).agg(*nearest)
 
 
 def usage(styles: DataFrame, paragraphs: DataFrame, default_style: str | None = None) -> DataFrame:
