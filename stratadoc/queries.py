@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import counters, mathml
 from .operators import cascade, edits, fingerprint, ordered, rules, search, tables, validate
-from .sources import corpus, docx
+from .sources import blocks, corpus, docx, package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -604,3 +605,66 @@ FORMULAS = ["<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>y</mi></mfrac></math
 def mathml_to_omml(spark, sf_dir):
     out = mathml.omml(F.col("source"))
     return spark.createDataFrame([(s,) for s in FORMULAS], "source string").withColumn("x", out).select("source", "x.omml", "x.error")
+
+
+def _shredded(spark, sf_dir):
+    """Conversations as packages: turns by role (system turns in a style outside the index), then a table and a caption, with a link to the first turn."""
+    c = corpus.conversations(spark, sf_dir).where("text is not null")
+    style = F.when(F.col("style_id") == "system", "_system").otherwise(F.col("style_id"))
+    turn = c.select("doc_id", F.col("para_seq").alias("ord"), F.to_json(F.struct(F.lit("paragraph").alias("type"), style.alias("styleId"), F.col("text").alias("content"))).alias("block"))
+    last = c.groupBy("doc_id").agg(F.max("para_seq").alias("ord"))
+    tail = [
+        {"type": "table", "rows": [["a", "b"], [{"content": "c", "colspan": 2}]]},
+        {"type": "caption", "captionId": "Talk", "text": "end", "anchor": "end"},
+        {"type": "paragraph", "content": [{"text": "see "}, {"link": "#end", "text": "the end"}, {"refTo": {"type": "anchor", "name": "end"}, "display": "number"}]},
+    ]
+    more = last.select("doc_id", F.posexplode(F.array(*[F.lit(json.dumps(b)) for b in tail])).alias("i", "block"), "ord").select("doc_id", (F.col("ord") + 1 + F.col("i")).alias("ord"), "block")
+    return docx.parts(blocks.write(turn.unionByName(more), {"Talk": {"label": "Talk"}}).where("content is not null"))
+
+
+# The paragraphs that a package holds: its turns, three cells, the caption, the paragraph with the link.
+_PACKED = """c as (select conv_id, row_number() over (partition by conv_id order by turn) as k, role, text from conversations where text is not null),
+  n as (select conv_id, max(k) as n from c group by conv_id),
+  p as (select conv_id::varchar as doc_id, k as para_seq, case role when 'system' then '_system' else role end as style_id, length(text) as chars, false as cell from c
+    union all select conv_id::varchar, n + i, null, case i when 4 then 10 when 5 then 4 else 1 end, i <= 3 from n, range(1, 6) as t(i))"""
+
+
+@query(f"""with {_PACKED} select doc_id, para_seq::int as para_seq, style_id, case when not cell and coalesce(style_id, '') <> '_system' then
+  (sum((not cell and coalesce(style_id, '') <> '_system')::int) over (partition by doc_id order by para_seq))::int end as para_index from p""")
+def package_paragraph_index(spark, sf_dir):
+    return package.indexed(package.blocks(_shredded(spark, sf_dir))).select("doc_id", "para_seq", "style_id", "para_index")
+
+
+@query("select conv_id::varchar as doc_id, 1 as table_idx, 2::bigint as rows, 2::bigint as cols, 'data' as classification, 'multiColData' as reason from conversations where text is not null group by conv_id")
+def package_tables(spark, sf_dir):
+    return package.table_kinds(package.blocks(_shredded(spark, sf_dir)))
+
+
+@query(f"""with {_PACKED} select doc_id, max(para_seq)::int - 1 as para_seq, 'SEQ' as field_type, 'Talk' as target, false as number_only, '1' as result from p group by doc_id
+  union all select doc_id, max(para_seq)::int, 'REF', 'end', true, '' from p group by doc_id""")
+def package_fields(spark, sf_dir):
+    return package.field_details(package.fields(_shredded(spark, sf_dir))).select("doc_id", "para_seq", "field_type", "target", "number_only", "result")
+
+
+@query(f"""with {_PACKED} select doc_id, count(distinct para_seq) as paragraphs, sum(chars)::bigint + 7 as chars, 7::bigint as linked_chars from p where chars > 0 group by doc_id""")
+def package_segments(spark, sf_dir):
+    size = F.col("stop") - F.col("start")
+    return package.segments(_shredded(spark, sf_dir)).where(size > 0).groupBy("doc_id").agg(F.count_distinct("para_seq").alias("paragraphs"), F.sum(size).alias("chars"), F.coalesce(F.sum(F.when(F.col("region") == "hyperlink", size)), F.lit(0)).alias("linked_chars"))
+
+
+@query(f"with {_PACKED} select doc_id, (max(para_seq) - i)::int as para_seq, 'field' as reason from p, range(0, 2) as t(i) group by doc_id, i")
+def package_blockers(spark, sf_dir):
+    return ordered.blockers(package.events(_shredded(spark, sf_dir)))
+
+
+@query("select conv_id::varchar as doc_id, 0::bigint as problems from conversations where false")
+def package_problems(spark, sf_dir):
+    """Per package what its checks find; packages without a problem have no row, and those written here have none."""
+    p = _shredded(spark, sf_dir)
+    rels = package.relationships(p)
+    types = package.content_types(p)
+    kind = lambda k, name: types.where(f"kind = '{k}'").select("doc_id", F.col("key").alias(name))
+    names = p.where("path <> '[Content_Types].xml'").select("doc_id", "path")
+    found = [validate.dangling(package.relationship_uses(p), rels), validate.duplicate_ids(rels), validate.content_gaps(names, kind("override", "path"), kind("default", "ext")), package.broken(p)]
+    one = lambda d: d.select("doc_id")
+    return one(found[0]).unionByName(one(found[1])).unionByName(one(found[2])).unionByName(one(found[3])).groupBy("doc_id").agg(F.count("*").alias("problems"))
