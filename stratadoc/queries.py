@@ -619,7 +619,7 @@ def _shredded(spark, sf_dir):
         {"type": "paragraph", "content": [{"text": "see "}, {"link": "#end", "text": "the end"}, {"refTo": {"type": "anchor", "name": "end"}, "display": "number"}]},
     ]
     more = last.select("doc_id", F.posexplode(F.array(*[F.lit(json.dumps(b)) for b in tail])).alias("i", "block"), "ord").select("doc_id", (F.col("ord") + 1 + F.col("i")).alias("ord"), "block")
-    return docx.parts(blocks.write(turn.unionByName(more), {"Talk": {"label": "Talk"}}).where("content is not null"))
+    return docx.parts(blocks.write(turn.unionByName(more), {"Talk": {"prefix": "Talk "}}).where("content is not null"))
 
 
 # The paragraphs that a package holds: its turns, three cells, the caption, the paragraph with the link.

@@ -22,7 +22,7 @@ NUMBERING = f"""<w:numbering {NS}><w:abstractNum w:abstractNumId="0"><w:multiLev
 <w:num w:numId="2"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="1"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>"""
 THEME = f'<a:theme xmlns:a="{P.A}"><a:themeElements><a:clrScheme name="x"><a:dk1><a:sysClr val="windowText" lastClr="000000"/></a:dk1></a:clrScheme><a:fontScheme name="x"><a:minorFont><a:latin typeface="Calibri"/><a:ea typeface=""/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
 PNG = base64.b64encode(b"not really an image").decode()
-CAPTIONS = {"Figure": {"label": "Figure", "styleId": "Caption", "chapterStyle": "heading 1"}}
+CAPTIONS = {"Figure": {"prefix": "Figure ", "styleId": "Caption", "chapterPrefix": ["heading 1"]}}
 BLOCKS = [
     {"type": "paragraph", "styleId": "H1", "content": "Top", "anchor": "top"},
     {"type": "paragraph", "styleId": "_hidden", "content": "out of the index"},
