@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +36,22 @@ def letters(n: Column) -> Column:
     return F.when(n < 26, one).when(n < 702, F.concat(two, one)).otherwise(F.concat(three, up(F.floor((n - 702) / 26) % 26), one))
 
 
-def summary(paragraphs: DataFrame) -> DataFrame:
-    """(raw_fp, label, fp_hash, n, first_doc, first_seq, avg_len, dominant_style) of paragraphs with raw_fp, doc_id, para_seq, style_id, text.
+def summary(paragraphs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, raw_fp, label, fp_hash, n, first_doc, first_seq, avg_len, dominant_style) of paragraphs with raw_fp, doc_id, para_seq, style_id, text.
 
-    Labels go by falling count, ties by key. A style dominates with 0.8 of the
-    paragraphs; ties go to the one seen first; Normal never does. Two aggregations,
-    both partial in each task; labels rank the few distinct keys.
+    Over the corpus, or inside each document with by=["doc_id"]. Labels go by falling
+    count, ties by key. A style dominates with 0.8 of the paragraphs; ties go to the one
+    seen first; Normal never does. Two aggregations, both partial in each task; labels
+    rank the few distinct keys.
     """
+    keys = list(by)
     place = F.struct("doc_id", "para_seq")
-    of_style = paragraphs.groupBy("raw_fp", "style_id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.sum(F.length(F.trim(F.col("text")))).alias("chars"))
-    best = F.max_by(F.struct("style_id", "n"), F.when(F.col("style_id").isNotNull(), F.struct(F.col("n"), -F.col("first.doc_id"), -F.col("first.para_seq"))))
-    out = of_style.groupBy("raw_fp").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("chars").alias("chars"), best.alias("best"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "raw_fp")) - 1
+    of_style = paragraphs.groupBy(*keys, "raw_fp", "style_id").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.sum(F.length(F.trim(F.col("text")))).alias("chars"))
+    best = F.min_by(F.struct("style_id", "n"), F.when(F.col("style_id").isNotNull(), F.struct(-F.col("n"), F.col("first"))))
+    out = of_style.groupBy(*keys, "raw_fp").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("chars").alias("chars"), best.alias("best"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "raw_fp")) - 1
     dominant = F.when((F.col("best.style_id") != "Normal") & (F.col("best.n") >= 0.8 * F.col("n")), F.col("best.style_id"))
-    return out.withColumn("rank", rank).select("raw_fp", letters(F.col("rank")).alias("label"), short_hash(F.col("raw_fp")).alias("fp_hash"), "n", F.col("first.doc_id").alias("first_doc"), F.col("first.para_seq").alias("first_seq"), F.floor(F.col("chars") / F.col("n") + 0.5).cast("long").alias("avg_len"), dominant.alias("dominant_style"))
+    return out.withColumn("rank", rank).select(*keys, "raw_fp", letters(F.col("rank")).alias("label"), short_hash(F.col("raw_fp")).alias("fp_hash"), "n", F.col("first.doc_id").alias("first_doc"), F.col("first.para_seq").alias("first_seq"), F.floor(F.col("chars") / F.col("n") + 0.5).cast("long").alias("avg_len"), dominant.alias("dominant_style"))
 
 
 def dominant_run(runs: DataFrame) -> DataFrame:

@@ -155,3 +155,34 @@ def test_long_and_odd_style_chains(spark):
     got = {r.id: r.size for r in cascade.resolve(d, ["size"]).collect()}
     assert got["s0"] == 40 and got["x"] == 7 and got["y"] == 8 and len(got) == 43
     assert cascade.closure(d.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    from stratadoc.plans.tools import Packages
+
+    heads = [("H1", "One"), (None, "body text"), ("H1", "Two"), (None, "图 3 说明"), (None, "")]
+    d = [("d", i, json.dumps({"type": "paragraph", "content": t, **({"styleId": s} if s else {})})) for i, (s, t) in enumerate(heads)]
+    d += [("d", 10, json.dumps({"type": "paragraph", "content": [{"text": "see needle"}, {"text": "s", "format": {"bold": True}}, {"refTo": {"type": "anchor", "name": "f"}}], "numbering": {"numId": 2, "level": 1}}))]
+    d += [("d", 11, json.dumps({"type": "caption", "captionId": "Figure", "text": "x", "anchor": "f"})), ("d", 12, json.dumps({"type": "paragraph", "content": "lost", "numbering": {"numId": 9, "level": 0}}))]
+    out = B.write(spark.createDataFrame(d, "doc_id string, ord int, block string"), CAPTIONS, {"styles": STYLES, "numbering": NUMBERING, "theme": THEME})
+    return Packages(docx.parts(out).persist())
+
+
+def test_labels_of_packages(corpus):
+    assert [(r.para_seq, r.label) for r in corpus.labels().orderBy("para_seq").collect()] == [(1, "III."), (3, "IV."), (6, "4.5")]
+
+
+def test_views_of_packages(corpus):
+    o = corpus.overview().first()
+    assert (o.paragraphs, o.indexed, o.sections, o.captions, o.numbered, o.empty, o.looks) == (8, 8, 1, 1, 3, 1, 3)
+    assert [(r.para_seq, r.ch, r.first_run, r.last_run, r.cross_run) for r in corpus.find_text("needles").collect()] == [(6, 4, 0, 1, True)]
+    assert [(r.identifier, r.number, r.cited) for r in corpus.captions().collect()] == [("Figure", "1", 1)]
+    assert [r.para_seq for r in corpus.migrate_captions().collect()] == [4]
+    assert [r.para_seq for r in corpus.around(1, 2).orderBy("para_seq").collect()] == [1, 2, 3]
+    assert [r.para_seq for r in corpus.find_paragraphs("^(One|Two)$").orderBy("para_seq").collect()] == [1, 3]
+    assert {(r.id, r.numbered_by, r.line_spacing, r.font_ascii) for r in corpus.style_definitions().collect()} == {("Normal", None, 360, "Calibri"), ("H1", "2", 360, "Calibri")}
+    assert corpus.sections().first().paper == "A4" and corpus.heading_skips().count() == 0 and corpus.unused_styles().count() == 0
+    looks = {r.label: (r.n, r.dominant_style, r.raw_fp) for r in corpus.fingerprints().collect()}
+    assert looks["A"][0] > looks["B"][0] and looks["B"][2] == "Calibri|22|B||||L" and looks["B"][1] == "H1"
+    assert [(r.part, r.message) for r in corpus.validate().collect()] == [("word/document.xml", "no numbering 9")]
