@@ -16,7 +16,9 @@ the corpus, and they stay distributed: grams are grouped by the two bytes before
 predicted one, which makes whole subtrees; above those, at most 256 * 255 nodes go to
 the driver. Texts are dealt into blocks of about `block_bytes`; each block asks once
 for each distinct gram and word that it holds and gets that gram's code length and that
-word's count back, so no model is broadcast and nothing moves for each occurrence.
+word's count back, so no model is broadcast and nothing moves for each occurrence. The
+distinct grams of a block move as one packed row for each class of subtrees, and their
+code lengths come back in the same order, without the grams.
 """
 
 from __future__ import annotations
@@ -28,21 +30,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import checkpoint_folder, texts
 
-DEPTH = 5
+DEPTH = 6
 _END = 0xFF
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text among the words; no word holds a blank.
 _STOP = b" "
 _STEP = 1 << 20
-#: Words and grams of a block that a task holds before it sends them on.
-_MOST_WORDS, _MOST_GRAMS = 150_000, 8_000_000
+#: Words of a block that a task holds before it sends them on.
+_MOST_WORDS = 150_000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,29 +172,55 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
     return np.log10(np.where(bit, one, 1 - one)).sum(1)
 
 
-def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, gram, word, n) for the distinct grams (word null) and words (gram 0) of each block, n counted over its training rows."""
-    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+def _planes(x: np.ndarray) -> bytes:
+    """The lowest byte of each number, then the next of each, and so on, which shuffles and files compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack(gram: np.ndarray) -> bytes:
+    """Ascending grams as their differences."""
+    return _planes(np.diff(gram, prepend=np.uint64(0)))
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw, np.uint64), dtype=np.uint64)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")  # the parts are sorted, which this sort makes use of
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first, dtype=n.dtype)
+
+
+def _classed(gram: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ascending grams by hash class of the two bytes before the predicted one, and where each class begins in it."""
+    two = (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(groups)
+    cls = two.astype(np.uint16)[(gram >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)]
+    return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=groups))])
+
+
+def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """For each block, its distinct grams, packed, a row for each class (two) with their counts over its training rows; and (block, word, times) for its words."""
+    schema = pa.schema([("block", pa.int64()), ("two", pa.int32()), ("gram", pa.binary()), ("n", pa.binary()), ("word", pa.binary()), ("times", pa.int64())])
     grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     words: dict[int, Counter] = {}
     waiting: dict[tuple[int, bool], list[bytes]] = {}
     size: Counter = Counter()
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")  # the parts are sorted, which this sort makes use of
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[first], np.add.reduceat(n, first)
-
     def take(block: int, train: bool) -> None:
         raws = waiting.pop((block, train))
         size[block, train] = 0
         key, n = np.unique(_grams(raws)[0], return_counts=True)
         parts = grams.setdefault(block, [])
-        parts.append((key, n if train else np.zeros(len(key), np.int64)))
+        parts.append((key, n.astype(np.uint32) if train else np.zeros(len(key), np.uint32)))
         if len(parts) >= 8:
-            grams[block] = [merged(parts)]
+            grams[block] = [_merged(parts)]
         own = words.setdefault(block, Counter())
         for r in raws:
             found = _WORD.findall(r)
@@ -205,16 +232,21 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own.setdefault(w, 0)
 
     def told_grams(block: int) -> Iterator[pa.RecordBatch]:
-        key, n = merged(grams.pop(block))
-        for i in range(0, len(key), 100_000):
-            k = len(key[i : i + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(key[i : i + k].view(np.int64)), pa.nulls(k, pa.binary()), pa.array(n[i : i + k])], schema=schema)
+        key, n = _merged(grams.pop(block))
+        order, start = _classed(key, groups)
+        key, n = key[order], n[order]
+        full = np.flatnonzero(np.diff(start))
+        for i in range(0, len(full), 32):
+            part = [(int(c), slice(start[c], start[c + 1])) for c in full[i : i + 32]]
+            k = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([_pack(key[x]) for _, x in part], pa.binary()), pa.array([_planes(n[x]) for _, x in part], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
 
     def told_words(block: int) -> Iterator[pa.RecordBatch]:
         own = sorted(words.pop(block).items())
         for i in range(0, len(own), 100_000):
             part = own[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
+            k = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
 
     at = None
     for b in held:
@@ -234,8 +266,6 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 take(block, train)
                 if len(words[block]) > _MOST_WORDS:
                     yield from told_words(block)
-                if sum(len(k) for k, _ in grams[block]) > _MOST_GRAMS:
-                    yield from told_grams(block)
     for key in list(waiting):
         take(*key)
     for block in list(grams):
@@ -244,63 +274,163 @@ def _asked(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told_words(block)
 
 
+def _counted(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of _asked, sorted by class: each class's distinct grams with their counts over all blocks, packed, and its nodes of depth 2."""
+    schema = pa.schema([("two", pa.int32()), ("gram", pa.binary()), ("n", pa.binary()), ("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("pw", pa.float64())])
+
+    def told(two: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        gram, n = _merged(parts)
+        for i in range(0, len(gram), _STEP):
+            yield pa.RecordBatch.from_arrays([pa.array([two], pa.int32()), pa.array([_pack(gram[i : i + _STEP])], pa.binary()), pa.array([_planes(n[i : i + _STEP])], pa.binary()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * 3], schema=schema)
+        seen = n > 0
+        if seen.any():
+            level = _subtree(gram[seen], n[seen], 2)[-1]
+            k = len(level.key)
+            yield pa.RecordBatch.from_arrays([pa.array([two] * k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array((level.key & np.uint64(0xFFFF)).view(np.int64)), pa.array(level.a), pa.array(level.b), pa.array(level.pw)], schema=schema)
+
+    at, parts, waiting = None, [], 0
+    for b in held:
+        for two, gram, n in zip(b.column("two").to_pylist(), b.column("gram"), b.column("n"), strict=True):
+            if two != at:
+                if parts:
+                    yield from told(at, parts)
+                at, parts, waiting = two, [], 0
+            parts.append((_unpack(gram.as_py()), _numbers(n.as_py(), np.uint32).astype(np.int64)))
+            waiting += len(parts[-1][0])
+            if waiting > max(_STEP, 2 * len(parts[0][0])):
+                parts = [_merged(parts)]
+                waiting = len(parts[0][0])
+    if parts:
+        yield from told(at, parts)
+
+
+def _priced(held: Iterator[pa.RecordBatch], top: Top) -> Iterator[pa.RecordBatch]:
+    """(block, two, value): the code lengths of a block's grams of a class, in their order. Rows come sorted by class, those of _counted, which have no block, first."""
+    schema = pa.schema([("block", pa.int64()), ("two", pa.int32()), ("value", pa.binary())])
+    at, parts, gram, value = None, [], None, None
+    for b in held:
+        for block, two, packed, n in zip(b.column("block").to_pylist(), b.column("two").to_pylist(), b.column("gram"), b.column("n"), strict=True):
+            if two != at:
+                at, parts, gram = two, [], None
+            if block is None:
+                parts.append((_unpack(packed.as_py()), _numbers(n.as_py(), np.int64)))
+                continue
+            if gram is None:
+                gram, n_all = _merged(parts)
+                value, parts = code_lengths(gram, n_all, top), []
+            mine = _unpack(packed.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([two], pa.int32()), pa.array([_planes(value[np.searchsorted(gram, mine)])], pa.binary())], schema=schema)
+
+
 class Slots:
-    """A table of values by gram, open-addressed, so that a lookup touches one place or two."""
+    """Values by gram: an open-addressed table of places, so that a lookup touches one of them or two."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(4, int(2 * len(key)).bit_length())
-        size = 1 << self.bits
-        self.key, self.value = np.full(size, (1 << 64) - 1, np.uint64), np.zeros(size)
-        left, at = np.arange(len(key)), self._at(key)
+        self.key, self.value = key, value
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(key), dtype=np.int32), self._at(key)
         while len(left):
-            free = self.key[at] == np.uint64((1 << 64) - 1)
-            self.key[at[free]] = key[left[free]]
-            mine = self.key[at] == key[left]
-            self.value[at[mine]] = value[left[mine]]
-            left, at = left[~mine], (at[~mine] + 1) & (size - 1)
+            free = self.place[at] < 0
+            self.place[at[free]] = left[free]
+            mine = self.place[at] == left
+            left, at = left[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
 
     def _at(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def of(self, key: np.ndarray) -> np.ndarray:
         at = self._at(key)
-        left = np.flatnonzero(self.key[at] != key)
+        place = self.place[at]
+        left = np.flatnonzero((place < 0) | (self.key[place] != key))
         while len(left):
-            if (self.key[at[left]] == np.uint64((1 << 64) - 1)).any():
+            if (place[left] < 0).any():
                 raise KeyError("a gram that was not asked for")
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            left = left[self.key[at[left]] != key[left]]
-        return self.value[at]
+            place[left] = self.place[at[left]]
+            left = left[(place[left] < 0) | (self.key[place[left]] != key[left])]
+        return self.value[place]
+
+
+def _steps(raws: list[bytes]) -> Iterator[list[bytes]]:
+    some, size = [], 0
+    for r in raws:
+        some.append(r)
+        size += len(r)
+        if size >= _STEP:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _distinct(raws: list[bytes]) -> np.ndarray:
+    def once(key: np.ndarray, how: str | None = None) -> np.ndarray:  # np.unique hashes here, which is slower than a sort
+        key = np.sort(key, kind=how)
+        return key[np.concatenate([[True], key[1:] != key[:-1]])]
+
+    parts: list[np.ndarray] = []
+    for some in _steps(raws):
+        parts.append(once(_grams(some)[0]))
+        if len(parts) >= 8:
+            parts = [once(np.concatenate(parts), "stable")]
+    return once(np.concatenate(parts), "stable")
 
 
-def _scored(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-    is_gram = got["word"].isna().to_numpy()
-    key = got["gram"].to_numpy(np.int64)[is_gram].view(np.uint64)
-    value = got["value"].to_numpy(np.float64)
-    of_gram = Slots(key, value[is_gram])
-    of_word = dict(zip(got["word"].to_numpy()[~is_gram], value[~is_gram], strict=True))
-    del is_gram, key, value, got
+def _scored(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the rows with a text. Rows come sorted by block, those of its classes and words first; its grams are found again, in the order in which their values come."""
+    values: dict[int, np.ndarray] = {}
+    of_word: dict[bytes, float] = {}
+    ids: list[pa.Array] = []
+    train: list[bool] = []
+    raws: list[bytes] = []
     known = math.log10(1.0)  # log10(c + 0.5) is above it for c > 0 only
-    total, n_tokens, n_known, base = [], [], [], []
-    texts_ = mine["text"].to_list()
-    i = 0
-    while i < len(texts_):
-        raws, size = [], 0
-        while i < len(texts_) and size < _STEP:
-            raws.append(texts_[i].encode().lower())
-            size += len(raws[-1])
-            i += 1
-        code, start = _grams(raws)
-        total.append(np.add.reduceat(of_gram.of(code), start))
-        for r in raws:
-            found = _WORD.findall(r)
-            found.append(_STOP)
-            v = np.fromiter(map(of_word.__getitem__, found), np.float64, len(found))
-            n_tokens.append(len(v))
-            n_known.append(int((v > known).sum()))
-            base.append(float(v.sum()))
-    return pd.DataFrame({"doc_id": mine["doc_id"], "train": mine["train"], "n_tokens": n_tokens, "n_known": n_known, "base": base, "score": np.concatenate(total) if total else []})
 
+    def told() -> pa.RecordBatch:
+        key = _distinct(raws)
+        order, start = _classed(key, groups)
+        if any(len(values.get(c, ())) != start[c + 1] - start[c] for c in range(groups)):
+            raise ValueError("the block's grams are not those that were asked for")
+        value = np.concatenate([values.pop(c) for c in sorted(values)])
+        of_gram = Slots(key[order], value)
+        del key, order
+        total, n_tokens, n_known, base = [], [], [], []
+        for some in _steps(raws):
+            code, start = _grams(some)
+            total.append(np.add.reduceat(of_gram.of(code), start))
+            for r in some:
+                found = _WORD.findall(r)
+                found.append(_STOP)
+                v = np.fromiter(map(of_word.__getitem__, found), np.float64, len(found))
+                n_tokens.append(len(v))
+                n_known.append(int((v > known).sum()))
+                base.append(float(v.sum()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(train, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(np.concatenate(total))], names=["doc_id", "train", "n_tokens", "n_known", "base", "score"])
+
+    at = None
+    for b in held:
+        block = b.column("block").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for i, j in zip(cut, cut[1:], strict=False):
+            if i == j:
+                continue
+            if block[i] != at:
+                if raws:
+                    yield told()
+                at = block[i]
+                for x in (values, of_word, ids, train, raws):
+                    x.clear()
+            part = b.slice(i, j - i)
+            kind = part.column("kind").to_numpy()
+            for c, v in zip(part.column("two").filter(pa.array(kind == 0)).to_pylist(), part.column("value").filter(pa.array(kind == 0)), strict=True):
+                values[c] = _numbers(v.as_py(), np.float64)
+            is_word, is_text = pa.array(kind == 1), pa.array(kind == 2)
+            of_word.update(zip(part.column("word").filter(is_word).to_pylist(), part.column("base").filter(is_word).to_pylist(), strict=True))
+            ids.append(part.column("doc_id").filter(is_text))
+            train.extend(part.column("train").filter(is_text).to_pylist())
+            raws.extend(t.as_py().encode().lower() for t in part.column("text").filter(is_text))
+    if raws:
+        yield told()
 
 
 def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups: int = 256) -> DataFrame:
@@ -318,32 +448,32 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
     d = texts(docs).withColumns({"train": ~F.coalesce(held_out, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks))})
-    asked = d.repartition("block").sortWithinPartitions("block").mapInArrow(_asked, "block long, gram long, word binary, n long")
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    asked.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).write.parquet(folder)
-    counts = spark.read.parquet(folder)
-    grams, words = counts.where("word is null"), counts.where("word is not null")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        # small row groups, as a row holds a block's grams of a class
+        df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    asked = d.repartition("block").sortWithinPartitions("block").mapInArrow(lambda held: _asked(held, groups), "block long, two int, gram binary, n binary, word binary, times long")
+    asked = kept(asked, "asked")
+    words = kept(asked.where("word is not null").groupBy("word").agg(F.sum("times").alias("n"), F.collect_set("block").alias("blocks")), "words")
     told = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_train, v_train = told["n"] or 0, told["v"] or 0
 
-    def bottom(pdf: pd.DataFrame) -> pd.DataFrame:
-        level = _subtree(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), 2)[-1]
-        return pd.DataFrame({"node": (level.key & np.uint64(0xFFFF)).view(np.int64), "a": level.a, "b": level.b, "pw": level.pw})
-
-    two = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(groups)).alias("two")
-    upper = grams.where("n > 0").select("gram", "n", two).groupBy("two").applyInPandas(bottom, "node long, a double, b double, pw double")
-    upper = upper.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toPandas()  # at most 256 * 255 rows
+    grams = asked.where("two is not null").select("two", "block", "gram", "n")
+    counted = grams.select("two", "gram", "n").repartition("two").sortWithinPartitions("two").mapInArrow(_counted, "two int, gram binary, n binary, node long, a double, b double, pw double")
+    counted = kept(counted, "counted")
+    upper = counted.where("node is not null").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toPandas()  # at most 256 * 255 rows
     top = Top(upper["node"].to_numpy(np.int64).view(np.uint64), *(upper[c].to_numpy(np.float64) for c in ("a", "b", "pw")))
     held = spark.sparkContext.broadcast(top)
 
-    def price(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"gram": pdf["gram"], "value": code_lengths(pdf["gram"].to_numpy(np.int64).view(np.uint64), pdf["n"].to_numpy(), held.value)})
-
-    priced = grams.select("gram", "n", two).groupBy("two").applyInPandas(price, "gram long, value double").join(grams.select("gram", "blocks"), "gram")
-    answers = priced.select(F.explode("blocks").alias("block"), "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
-        words.select(F.explode("blocks").alias("block"), F.lit(0).cast("long").alias("gram"), "word", F.log10(F.col("n") + 0.5).alias("value"))
-    )
-    out = d.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored, f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
+    both = counted.where("node is null").select("two", F.lit(None).cast("long").alias("block"), "gram", "n").unionByName(grams.withColumn("n", F.lit(None).cast("binary")))
+    priced = both.repartition("two").sortWithinPartitions("two", F.col("block").asc_nulls_first()).mapInArrow(lambda rows: _priced(rows, held.value), "block long, two int, value binary")
+    base = words.select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "word", F.log10(F.col("n") + 0.5).alias("base"))
+    every = priced.withColumn("kind", F.lit(0)).unionByName(base, allowMissingColumns=True).unionByName(d.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    scored = every.repartition("block").sortWithinPartitions("block", "kind")
+    out = scored.mapInArrow(lambda rows: _scored(rows, groups), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
     return out.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

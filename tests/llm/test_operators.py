@@ -226,6 +226,25 @@ def test_context_trees_equal_the_definition(spark):
         assert got[i].score == pytest.approx(plain_ctw(train, t.encode()), abs=1e-6), i
 
 
+def test_the_sixth_byte_before_counts(spark):
+    d = spark.createDataFrame([(i, f"{i % 2}abcde{i % 2}") for i in range(40)] + [(40, "0abcde0"), (41, "0abcde1")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in ctw.score(d, F.col("doc_id") >= 40).collect()}
+    assert got[40] > got[41] + 1
+
+
+def test_packed_grams_come_back():
+    rng = np.random.default_rng(3)
+    gram = np.unique(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    assert (ctw._unpack(ctw._pack(gram)) == gram).all()
+    order, start = ctw._classed(gram, 7)
+    assert sorted(order) == list(range(len(gram))) and start[-1] == len(gram)
+    value = rng.random(len(gram))
+    assert (ctw._numbers(ctw._planes(value), np.float64) == value).all()
+    assert (ctw.Slots(gram[order], value[order]).of(gram) == value).all()
+    with pytest.raises(KeyError):
+        ctw.Slots(gram, value).of(gram[:9] + np.uint64(1))
+
+
 def test_base_score_equals_the_formula(spark, docs):
     words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), None]
     count = {}
