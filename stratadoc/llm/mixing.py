@@ -7,7 +7,8 @@ cap / w gives in one pass.
 
 Positions: source s asks for target_s * (1 + slope_s * (2t - 1)) words a unit of time,
 t from 0 to 1. The integral u(t) = t + slope * (t * t - t) is its share used up at t;
-inverting it gives the time at which a document's first word is due. Documents of a
+inverting it gives the time at which a document's first word is due, in each pass: pass
+i puts i times the source's words before it. Documents of a
 source stand in the order of md5(doc_id); the words before each are a prefix sum in two
 levels, over md5 prefixes (buckets) and inside a bucket, so a source with a third of
 all rows is spread over its buckets. The result is range-sorted by position.
@@ -15,7 +16,7 @@ all rows is spread over its buckets. The result is range-sorted by position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import SPACE_WORD
@@ -44,14 +45,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mos
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: int = 3, bucket_digits: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position) per row of docs (doc_id, text, source), sorted by position.
+    """(doc_id, source, size, source_size, target, taken, position, positions) per row of docs (doc_id, text, source), sorted by position.
 
     size: words of the whole text (null: 0). taken: words the mix takes from the
     document, its repeats counted: as many whole passes as the target has, then the
     first documents in md5 order up to the rest, the last one in part. So each source's
     taken words differ from its target by less than one word, and no document gives
     more than most_epochs times its size. position: the time, 0 to 1, at which its
-    first word is due; null if nothing is taken. A null source is a source, the last.
+    first word is due; null if nothing is taken. positions: the same for each pass over
+    the document, the last perhaps in part; empty if nothing is taken. A null source is a source, the last.
     Repeated rows each count; reruns agree. An empty table gives an empty result; other
     columns are ignored. bucket_digits: hex digits of md5 that make a bucket.
     """
@@ -71,11 +73,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: in
     goal = F.round(F.col("target")).cast("long")
     rows = rows.withColumn("passes", F.when(F.col("source_size") > 0, passes).otherwise(0).cast("long")).withColumn("rest", goal - F.col("passes") * F.col("source_size"))
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    u, k = F.col("before") / F.col("target"), F.col("slope")
-    t = F.when(k == 0, u).otherwise((k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * u)) / (2 * k))
+    k = F.col("slope")
+
+    def due(before: Column) -> Column:
+        u = before / F.col("target")
+        return F.when(k == 0, u).otherwise((k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * u)) / (2 * k))
+
+    count = F.ceil(F.col("taken") / F.col("size")).cast("int")  # a pass in part is the last
+    each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: due(F.col("before") + i * F.col("source_size")))
     return (
         rows.withColumn("taken", F.least(taken, F.lit(most_epochs) * F.col("size")).cast("long"))
-        .withColumn("position", F.when(F.col("taken") > 0, t))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+        .withColumn("position", F.when(F.col("taken") > 0, due(F.col("before"))))
+        .withColumn("positions", F.when(F.col("taken") > 0, each).otherwise(F.array().cast("array<double>")))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions")
         .orderBy(F.col("position").asc_nulls_last(), "doc_id")
     )

@@ -64,7 +64,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    # Its SQL gives the first position alone; the pipeline keeps those of all passes.
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,6 +334,27 @@ def test_mix_meets_its_targets(spark):
     assert got == mixing.mix(d.repartition(3)).collect()
 
 
+def test_each_pass_has_its_position(spark):
+    d = spark.createDataFrame([(i, "w " * (i % 7), "b" if i % 10 == 3 else "a" if i % 10 else None) for i in range(300)], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert max(r.taken for r in got if r.source == "b") > 0 and any(len(r.positions) == 3 for r in got)
+    slope = {"a": 0.0, "b": 0.5, None: -0.5}
+    for s, k in slope.items():
+        mine = sorted((r for r in got if r.source == s), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
+        goal, before, words = round(mine[0].target), 0, 0
+        due = {r.doc_id: [] for r in mine}
+        for _ in range(3):
+            for r in mine:
+                if r.size and before < goal:
+                    due[r.doc_id].append(before)
+                    words += min(r.size, goal - before)
+                before += r.size
+        assert words == sum(r.taken for r in mine)
+        for r in mine:
+            assert [(t + k * (t * t - t)) * r.target for t in r.positions] == pytest.approx(due[r.doc_id], abs=1e-6)
+            assert r.position == (r.positions[0] if r.positions else None)
+
+
 def test_every_shared_span_is_found(spark):
     rng = random.Random(11)
     word = lambda: "w" + str(rng.randrange(30))
