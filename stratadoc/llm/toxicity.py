@@ -1,17 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first 4 to 6 letters of words; those that go with the label in
-the training rows (by chi-square) make the vocabulary. The examples' postings are kept
-by term in blocks of examples, each with its greatest weight. A search adds up, for
-every block, the query's weights times those maxima; blocks are then scored in falling
-order of that bound until it falls under the k-th best similarity found, so the result is
-the exact nearest k. Their votes, weighted by similarity, are calibrated by isotonic
-regression over the examples' own votes, each example left out of its own search.
+Terms are words and the first 4 to 6 letters of words; every term of every example is
+indexed. A term's weight is (1 + log tf) * idf * (1 + relevance), where relevance,
+|log odds ratio| * max(|z| - 2, 0) of the term's share in the examples of label 1
+against label 0, is zero for terms that say nothing about the label. Plain weights
+leave the neighbours to the many words of no meaning for the label (README, figures).
+
+The examples' postings are kept by term in blocks of examples, each with its greatest
+weight. A search adds up, for every block, the query's weights times those maxima; the
+blocks with the greatest sums are scored first, then all others whose sum reaches the
+k-th best similarity found, so the result is the exact nearest k. Their votes, weighted
+by similarity, are calibrated by centred isotonic regression over the examples' own
+votes, each example left out of its own search and of its own terms' counts.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +29,7 @@ from .base import texts
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BLOCK = 64
+_FIRST = 4  # blocks that are scored before the others are judged by their bound
 
 
 def word_terms(word: str) -> list[str]:
@@ -32,167 +37,191 @@ def word_terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
 
 
-def doc_terms(text: str) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        for t in word_terms(w):
-            out[t] += n
-    return out
+def doc_words(text: str) -> Counter:
+    return Counter(_WORD.findall(text.lower()))
 
 
-class Examples:
-    """Labelled examples with a block-max inverted index."""
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, end), one range after the other."""
+    n = end - start
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
 
-    def __init__(self, vocabulary: dict[str, float], k: int = 15, prior: float = 0.1, weight: float = 1.0):
-        self.idf = np.array(list(vocabulary.values()), np.float64)
-        self.term = {t: i for i, t in enumerate(vocabulary)}
-        self.k, self.prior, self.weight = k, prior, weight
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, weights of length 1); none for a text without vocabulary."""
-        tf: dict[int, int] = {}
-        known, term = self.words, self.term
-        for w, n in Counter(_WORD.findall(text.lower())).items():
+def weights(n: np.ndarray, n1: np.ndarray, all_n: float, all_n1: float) -> np.ndarray:
+    """idf * (1 + relevance) of terms held by n of all_n examples, n1 of them among the all_n1 of label 1."""
+    p1, p0 = (n1 + 0.5) / (all_n1 + 1.0), (n - n1 + 0.5) / (all_n - all_n1 + 1.0)
+    pooled = (n + 1.0) / (all_n + 2.0)
+    z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / max(all_n1, 1) + 1 / max(all_n - all_n1, 1)))
+    return (np.log((1 + all_n) / (1 + n)) + 1) * (1 + np.abs(np.log(p1 / p0)) * np.maximum(np.abs(z) - 2, 0))
+
+
+class Examples:
+    """Labelled examples with a block-max inverted index over all their terms."""
+
+    def __init__(self, ids: list, words: list[Counter], labels: np.ndarray, k: int = 15, prior: float = 0.1, shrink: float = 0.1):
+        self.k, self.prior, self.shrink = k, prior, shrink
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.steps = (np.zeros(0), np.zeros(0))
+        self.term = {t: i for i, t in enumerate(sorted({t for c in words for w in c for t in word_terms(w)}))}
+        counts = [self._counts(c) for c in words]
+        self.all_n, self.all_n1 = len(ids), float(np.sum(labels))
+        flat = np.concatenate([a for a, _ in counts]) if counts else np.zeros(0, np.int64)
+        y = np.repeat(np.asarray(labels, np.float64), [len(a) for a, _ in counts])
+        self.n = np.bincount(flat, minlength=len(self.term)).astype(np.float64)
+        self.n1 = np.bincount(flat, y, minlength=len(self.term))
+        self.weight = weights(self.n, self.n1, self.all_n, self.all_n1)
+        self._index(ids, [self._unit(a, n, self.weight[a]) for a, n in counts], np.asarray(labels, np.float64))
+
+    def _counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, ascending; how often each occurs) of a text's known terms."""
+        known, term, flat, times = self.known, self.term, [], []
+        for w, n in words.items():
             ids = known.get(w)
             if ids is None:
                 ids = tuple(term[t] for t in word_terms(w) if t in term)
-                if len(known) > 300_000:
+                if len(known) > 200_000:
                     known.clear()
                 known[w] = ids
-            for i in ids:
-                tf[i] = tf.get(i, 0) + n
-        at = np.array(sorted(tf), np.int64)
-        v = (1 + np.log(np.array([tf[i] for i in at], np.float64))) * self.idf[at] if len(at) else np.zeros(0)
+            flat.extend(ids)
+            times.extend([n] * len(ids))
+        if not flat:
+            return np.zeros(0, np.int64), np.zeros(0)
+        at, place = np.unique(np.array(flat, np.int64), return_inverse=True)
+        return at, np.bincount(place, np.array(times, np.float64))
+
+    @staticmethod
+    def _unit(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (1 + np.log(n)) * weight
         return at, v / max(np.sqrt((v * v).sum()), 1e-12)
 
-    def index(self, ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
-        """Postings by term and block; examples stand in the order of their heaviest term, so that blocks are alike."""
-        order = sorted((i for i in range(len(ids)) if len(vectors[i][0])), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(labels[i]), str(ids[i])))
-        self.ids, self.labels = [ids[i] for i in order], labels[order].astype(np.float64)
-        n = len(order)
-        self.blocks = -(-n // _BLOCK)
-        doc = np.concatenate([np.full(len(vectors[i][0]), j) for j, i in enumerate(order)]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([vectors[i][0] for i in order]) if n else np.zeros(0, np.int64)
-        value = np.concatenate([vectors[i][1] for i in order]) if n else np.zeros(0)
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, weights of length 1); none for a text without a known term."""
+        at, n = self._counts(doc_words(text))
+        return self._unit(at, n, self.weight[at])
+
+    def _index(self, ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
+        """Postings by term and block; examples stand in the order of their heaviest term that many hold, so that blocks are alike."""
+        many = self.n * 20 >= self.all_n
+        lead = [int(at[np.argmax(np.where(many[at], v, 0))]) if len(at) else -1 for at, v in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (lead[i], labels[i], str(ids[i])))
+        self.ids, self.labels = [ids[i] for i in order], labels[order] if len(order) else labels
+        self.place = {i: j for j, i in enumerate(order)}
+        size = [len(vectors[i][0]) for i in order]
+        doc = np.repeat(np.arange(len(order)), size)
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         by = np.lexsort((doc, term))
-        self.doc, self.value = doc[by], value[by]
-        cell = term[by] * self.blocks + self.doc // _BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(self.idf) * self.blocks + 1))
-        self.most = np.zeros(len(self.idf) * self.blocks)
-        np.maximum.at(self.most, cell, self.value)
-        self.most = self.most.reshape(len(self.idf), self.blocks)
+        term, self.doc, self.value = term[by], doc[by].astype(np.int32), value[by].astype(np.float32)
+        self.blocks = -(-len(order) // _BLOCK)
+        cell = term * max(self.blocks, 1) + self.doc // _BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.start = np.concatenate([first, [len(cell)]]).astype(np.int32)  # of each cell's postings
+        self.block = (self.doc[first] // _BLOCK).astype(np.int16)
+        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(term[first], np.arange(len(self.term) + 1)).astype(np.int32)  # of each term
 
     def nearest(self, at: np.ndarray, v: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, similarities) of the k nearest with a similarity over 0; ties go to the lower number."""
-        bound = v @ self.most[at] if len(at) and self.blocks else np.zeros(0)
+        s, e = self.cells[at], self.cells[at + 1]
+        cell, x = _ranges(s, e), np.repeat(v, e - s)
+        block = self.block[cell]
+        bound = np.bincount(block, x * self.most[cell], minlength=self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == self.k and bound[b] < best[-1] - 1e-12):
-                break
-            own = np.zeros(_BLOCK)
-            for t, x in zip(at, v, strict=True):
-                c = t * self.blocks + b
-                s, e = self.start[c], self.start[c + 1]
-                if e > s:
-                    own[self.doc[s:e] - b * _BLOCK] += x * self.value[s:e]
-            if b * _BLOCK <= without < (b + 1) * _BLOCK:
-                own[without - b * _BLOCK] = 0
+        left = bound > 0
+        while left.any():
+            go = np.zeros(self.blocks, bool)
+            if len(best) < self.k:
+                few = np.flatnonzero(left)
+                go[few[np.argsort(-bound[few], kind="stable")[:_FIRST]]] = True
+            else:
+                go = left & (bound >= best[-1] - 1e-9)
+                if not go.any():
+                    break
+                left &= go
+            left &= ~go
+            mine = go[block]
+            c, w = cell[mine], x[mine]
+            s, e = self.start[c], self.start[c + 1]
+            hold = _ranges(s, e)
+            own = np.bincount(self.doc[hold], np.repeat(w, e - s) * self.value[hold])
+            if 0 <= without < len(own):
+                own[without] = 0
             hit = np.flatnonzero(own)
-            best_at, best = np.concatenate([best_at, hit + b * _BLOCK]), np.concatenate([best, own[hit]])
+            best_at, best = np.concatenate([best_at, hit]), np.concatenate([best, own[hit]])
             top = np.lexsort((best_at, -best))[: self.k]
             best_at, best = best_at[top], best[top]
         return best_at, best
 
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
-        return float(((similarity * self.labels[near]).sum() + self.weight * self.prior) / (similarity.sum() + self.weight))
+        return float(((similarity * self.labels[near]).sum() + self.shrink * self.prior) / (similarity.sum() + self.shrink))
+
+    def own_vote(self, number: int, words: Counter, label: float) -> float:
+        """The vote of an example that is itself left out: of the search, and of the counts that weigh its terms."""
+        at, n = self._counts(words)
+        weight = weights(self.n[at] - 1, self.n1[at] - label, self.all_n - 1, self.all_n1 - label)
+        return self.vote(*self.nearest(*self._unit(at, n, weight), without=number))
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Isotonic regression (pool adjacent violators) of the label on the vote."""
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray, share: np.ndarray) -> None:
+        """Centred isotonic regression: pooled groups of votes, each at its mean, straight lines between them."""
         order = np.argsort(votes, kind="stable")
-        groups: list[list[float]] = []  # first and last vote, sum of weighted labels, of weights
-        for v, y, w in zip(votes[order], labels[order], weights[order], strict=True):
-            if groups and groups[-1][1] == v:
-                groups[-1][2] += y * w
-                groups[-1][3] += w
+        groups: list[list[float]] = []  # sums of weighted votes, of weighted labels, of weights
+        for v, y, w in zip(votes[order], labels[order], share[order], strict=True):
+            if groups and groups[-1][0] == v * groups[-1][2]:
+                groups[-1] = [groups[-1][0] + v * w, groups[-1][1] + y * w, groups[-1][2] + w]
             else:
-                groups.append([v, v, y * w, w])
-            while len(groups) > 1 and groups[-2][2] * groups[-1][3] >= groups[-1][2] * groups[-2][3]:
+                groups.append([v * w, y * w, w])
+            while len(groups) > 1 and groups[-2][1] * groups[-1][2] >= groups[-1][1] * groups[-2][2]:
                 a = groups.pop()
-                groups[-1] = [groups[-1][0], a[1], groups[-1][2] + a[2], groups[-1][3] + a[3]]
-        x, y = [], []
-        for first, last, s, w in groups:
-            x += [first, last]
-            y += [s / w] * 2
-        self.steps = (np.array([0.0, *x, 1.0]), np.array([y[0], *y, y[-1]])) if x else self.steps
+                groups[-1] = [x + z for x, z in zip(groups[-1], a, strict=True)]
+        g = np.array(groups)
+        if len(g):
+            self.steps = (np.concatenate([[0.0], g[:, 0] / g[:, 2], [1.0]]), np.concatenate([g[:1, 1] / g[:1, 2], g[:, 1] / g[:, 2], g[-1:, 1] / g[-1:, 2]]))
 
-    def score(self, vote: float) -> float:
-        """The calibrated vote; a tenth of it stays the vote itself, which keeps equal steps apart."""
-        return min(1.0, max(0.0, 0.9 * float(np.interp(vote, *self.steps)) + 0.1 * vote))
+    def score(self, near: np.ndarray, similarity: np.ndarray) -> float:
+        """The calibrated vote; without neighbours the share of label 1."""
+        if not len(near) or not len(self.steps[0]):
+            return float(self.prior)
+        return float(np.interp(self.vote(near, similarity), *self.steps))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int = 4000, rows: int = 12000, terms: int = 4000, k: int = 15) -> Examples:
-    """Vocabulary, index and calibration from labelled rows outside `held_out`.
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int = 4000, k: int = 15, calibration: int = 2000) -> Examples:
+    """Index and calibration from labelled rows outside `held_out`.
 
-    labels: doc_id, label (0 or 1). The documented bounds: of each label, the `rows` / 2
-    rows first by hash give the vocabulary's counts and idf, and `examples` / 2 of them
-    the index. Only these counts and texts reach the driver.
+    labels: doc_id, label (0 or 1; others and nulls are passed over; a document with
+    both is of label 1). The documented bounds: of each label, the `examples` / 2 rows
+    first by hash make the index and its counts, the `calibration` / 2 first the
+    calibration. The words of these alone reach the driver.
     """
-    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out, F.lit(False))).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    by_hash = known.withColumn("h", F.xxhash64("doc_id"))
-    first = lambda n: by_hash.where("label = 1").orderBy("h", "doc_id").limit(n).unionByName(by_hash.where("label = 0").orderBy("h", "doc_id").limit(n)).drop("h")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
+    rows = sum(totals.values())
+    prior = totals.get(1, 0) / rows if rows else 0.5
+    if len(totals) < 2:
+        return Examples([], [], np.zeros(0), k, prior)
 
-        def flush() -> pa.RecordBatch:
-            keys = list(seen[0].keys() | seen[1].keys())
-            rows = [[""] + keys, [n[0]] + [seen[0][t] for t in keys], [n[1]] + [seen[1][t] for t in keys]]
-            seen[0].clear(), seen[1].clear()
-            n[:] = 0, 0
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["term", "n0", "n1"])
-
-        for b in batches:
-            for t, y in zip(b.column("text"), b.column("label").to_pylist(), strict=True):
-                seen[y].update(doc_terms(t.as_py()).keys())
-                n[y] += 1
-                if len(seen[0]) + len(seen[1]) > 500_000:
-                    yield flush()
-        yield flush()
-
-    t = texts(docs)
-    counted = t.join(F.broadcast(first(rows // 2)), "doc_id").select("text", "label").mapInArrow(count, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n0, n1 = (counted.where("term = ''").select("n0", "n1").first() or (0, 0))[:2]
-    if not n0 or not n1:
-        e = Examples({}, k, 1.0 if n1 else 0.0 if n0 else 0.5)
-        e.index([], [], np.zeros(0))
-        return e
-    p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
-    pooled = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2.0)
-    z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1.0 / n0 + 1.0 / n1))
-    best = counted.where("term <> '' and n1 >= 3").withColumn("z", z).where((F.col("z") > 3) & (p1 > 3 * p0)).orderBy(F.desc("z"), "term").limit(terms).collect()
-    prior = totals[1] / (totals[0] + totals[1])
-    share = {1: totals[1] / min(totals[1], examples // 2), 0: totals[0] / min(totals[0], examples // 2)}  # rows that an example stands for
-    e = Examples({r["term"]: math.log((1 + n0 + n1) / (1 + r["n0"] + r["n1"])) + 1 for r in best}, k, prior)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [e.vector(x.as_py()) for x in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([a.tobytes() for a, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["doc_id", "label", "at", "v"])
-
-    got = t.join(F.broadcast(first(examples // 2)), "doc_id").select("doc_id", "label", "text").mapInArrow(vectors, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, at binary, v binary").collect()
-    got.sort(key=lambda r: str(r["doc_id"]))
-    found = [(np.frombuffer(r["at"], np.int64), np.frombuffer(r["v"], np.float64)) for r in got]
-    y = np.array([r["label"] for r in got])
-    e.index([r["doc_id"] for r in got], found, y)
-    number = {i: j for j, i in enumerate(e.ids)}
-    votes = np.array([e.vote(*e.nearest(*x, without=number.get(r["doc_id"], -1))) for r, x in zip(got, found, strict=True)])
-    e.calibrate(votes, y, np.array([share[int(c)] for c in y], np.float64))
-    e.words.clear()
+            found = [doc_words(x.as_py()) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("label"), b.column("h"), pa.array([" ".join(c) for c in found], pa.string()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in found], pa.binary())],
+                ["doc_id", "label", "h", "words", "times"],
+            )
+
+    first = lambda y: known.where(F.col("label") == y).orderBy("h", "doc_id").limit(examples // 2)
+    chosen = F.broadcast(first(1).unionByName(first(0)))  # `examples` rows of numbers
+    got = texts(docs).join(chosen, "doc_id").select("doc_id", "label", "h", "text").mapInArrow(words, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, words string, times binary").collect()
+    got.sort(key=lambda r: (r["label"], r["h"], str(r["doc_id"]), r["words"]))
+    count = [Counter(dict(zip(r["words"].split(), np.frombuffer(r["times"], np.int32).tolist(), strict=True))) for r in got]
+    y = np.array([r["label"] for r in got], np.float64)
+    if not 0 < y.sum() < len(y):  # labelled rows without a document
+        return Examples([], [], np.zeros(0), k, prior)
+    e = Examples([r["doc_id"] for r in got], count, y, k, prior)
+    share = {c: totals[c] / (y == c).sum() for c in (0, 1)}  # rows that an example stands for
+    some = np.concatenate([np.flatnonzero(y == c)[: calibration // 2] for c in (0, 1)])
+    votes = np.array([e.own_vote(e.place[i], count[i], y[i]) for i in some])
+    e.calibrate(votes, y[some], np.array([share[int(c)] for c in y[some]]))
+    e.known.clear()
     return e
 
 
@@ -200,8 +229,8 @@ def score(docs: DataFrame, examples: Examples, threshold: float = 0.3, evidence:
     """(doc_id, score, predicted, evidence) per row of docs (doc_id, text).
 
     evidence: the nearest examples, each with its doc_id, similarity and label. Null and
-    empty texts, and texts without vocabulary, have no neighbours and get the calibrated
-    prior. Repeated rows stay; an empty table gives an empty result. Other columns are
+    empty texts, and texts without a known term, have no neighbours and get the share of
+    label 1. Repeated rows stay; an empty table gives an empty result. Other columns are
     ignored. Without labels of both kinds every score is the share of label 1, or 0.5.
     """
     spark = docs.sparkSession
@@ -214,7 +243,7 @@ def score(docs: DataFrame, examples: Examples, threshold: float = 0.3, evidence:
             scores, found = [], []
             for x in b.column(1):
                 near, similarity = e.nearest(*e.vector(x.as_py()))
-                scores.append(e.score(e.vote(near, similarity)))
+                scores.append(e.score(near, similarity))
                 found.append([{"example": e.ids[i], "similarity": float(s), "label": int(e.labels[i])} for i, s in zip(near[:evidence], similarity[:evidence], strict=True)])
             s = pa.array(scores, pa.float64())
             shape = pa.list_(pa.struct([("example", b.column(0).type), ("similarity", pa.float64()), ("label", pa.int32())]))

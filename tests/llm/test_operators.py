@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,31 +148,95 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
 
 
-def test_nearest_examples_equal_brute_force():
+def plain_neighbours(e, words):
+    """A function to scores and similarities by the book: every example's whole vector against the text's, in dictionaries."""
+    many, many1 = len(words), sum(y for _, y in words.values())
+
+    def terms(c):
+        out = Counter()
+        for w, k in c.items():
+            for t in toxicity.word_terms(w):
+                out[t] += k
+        return out
+
+    of = {i: (terms(c), y) for i, (c, y) in words.items()}
+    n, n1 = Counter(t for c, _ in of.values() for t in c), Counter(t for c, y in of.values() if y for t in c)
+
+    def weight(t):
+        p1, p0, p = (n1[t] + 0.5) / (many1 + 1), (n[t] - n1[t] + 0.5) / (many - many1 + 1), (n[t] + 1) / (many + 2)
+        z = (p1 - p0) / math.sqrt(p * (1 - p) * (1 / many1 + 1 / (many - many1)))
+        return (math.log((1 + many) / (1 + n[t])) + 1) * (1 + abs(math.log(p1 / p0)) * max(abs(z) - 2, 0))
+
+    w = {t: weight(t) for t in n}
+
+    def unit(c):
+        v = {t: (1 + math.log(x)) * w[t] for t, x in c.items() if t in w}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    units = {i: unit(c) for i, (c, _) in of.items()}
+
+    def search(found):
+        q = unit(terms(found))
+        near = sorted(((sum(x * u.get(t, 0) for t, x in q.items()), i) for i, u in units.items()), reverse=True)
+        near = [(s, i) for s, i in near if s > 0][: e.k]
+        vote = (sum(s * of[i][1] for s, i in near) + e.shrink * e.prior) / (sum(s for s, _ in near) + e.shrink)
+        return (float(np.interp(vote, *e.steps)) if near else e.prior), [s for s, _ in near]
+
+    return search
+
+
+def test_toxicity_equals_every_pair(spark, con, docs):
+    mark = {i: y for i, y in con.execute("select doc_id, toxic from labels").fetchall() if zlib.crc32(str(i).encode()) % 4 != 2}
+    words = {i: (toxicity.doc_words(docs[i]), y) for i, y in mark.items()}
+    labels = spark.createDataFrame(list(mark.items()), "doc_id long, label int")
+    e = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, F.lit(False))
+    assert len(e.ids) == len(mark) and len(e.steps[0]) > 2
+    got = {r.doc_id: r for r in queries.op4(spark, SF).collect()}
+    search = plain_neighbours(e, words)
+    for i, t in docs.items():
+        want, similar = search(toxicity.doc_words(t))
+        assert got[i].score == pytest.approx(want, abs=1e-4), i
+        assert [x.similarity for x in got[i].evidence] == pytest.approx(similar[:3], abs=1e-5)
+
+
+def test_blocks_that_cannot_hold_a_neighbour_are_all_that_is_left_out():
     rng = np.random.default_rng(2)
-    e = toxicity.Examples({f"t{i}": 1.0 + i % 3 for i in range(60)}, k=7)
-    e.term = {chr(97 + i // 8) * 3 + chr(97 + i % 8): i for i in range(60)}
-    words = list(e.term)
-    make = lambda: " ".join(words[i] for i in rng.integers(0, 60, 6))
-    texts = [make() for _ in range(400)]
-    vectors = [e.vector(t) for t in texts]
-    e.index(list(range(400)), vectors, rng.integers(0, 2, 400))
-    dense = np.zeros((400, 60))
-    for row, i in enumerate(e.ids):
-        dense[row, vectors[i][0]] = vectors[i][1]
-    for _ in range(50):
-        at, v = e.vector(make())
-        q = np.zeros(60)
-        q[at] = v
+    words = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    make = lambda: Counter(words[i] for i in (rng.zipf(1.3, 12) + rng.integers(0, 9)) % len(words))
+    texts = [make() for _ in range(700)]
+    e = toxicity.Examples(list(range(700)), texts, rng.integers(0, 2, 700), k=7)
+    dense = np.zeros((700, len(e.term)))
+    for i, c in enumerate(texts):
+        at, v = e.vector(" ".join(w for w, n in c.items() for _ in range(n)))
+        dense[e.place[i], at] = v
+    for _ in range(200):
+        c = make()
+        at, v = e.vector(" ".join(w for w, n in c.items() for _ in range(n)))
         near, similarity = e.nearest(at, v)
-        assert np.allclose(np.sort(dense @ q)[::-1][: len(similarity)], similarity)
+        q = np.zeros(len(e.term))
+        q[at] = v
+        want = dense @ q
+        assert np.allclose(np.sort(want)[::-1][: len(similarity)], similarity, atol=1e-5) and np.allclose(want[near], similarity, atol=1e-5)
+        assert len(similarity) == min(7, (want > 0).sum())
 
 
 def test_toxicity_on_held_out_rows(spark, con):
-    mark = dict(con.execute("select doc_id, toxic from labels").fetchall())
-    got = [(r.predicted, mark[r.doc_id]) for r in queries.op4(spark, SF).collect() if r.doc_id in mark]
-    assert sum(a == b for a, b in got) / len(got) > 0.9
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in queries.op4(spark, SF).select("doc_id", "held_out").collect())
+    sf = "/root/testdata/sf0.01"
+    mark = dict(tables(sf).execute("select doc_id, toxic from labels").fetchall())
+    rows = queries.op4(spark, sf).select("doc_id", "held_out", "score", "predicted").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    got = [(r.score, r.predicted, mark[r.doc_id]) for r in rows if r.held_out and r.doc_id in mark]
+    assert sum(p == y for _, p, y in got) / len(got) > 0.85
+    pairs = [(a > b) + (a == b) / 2 for a, _, x in got if x for b, _, y in got if not y]
+    assert sum(pairs) / len(pairs) > 0.9
+
+
+def test_toxicity_takes_conflicting_labels_as_toxic(spark):
+    d = spark.createDataFrame([(1, "vile muck"), (2, "kind words"), (3, "vile")], "doc_id long, text string")
+    label = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (9, 1), (2, 7)], "doc_id long, label int")
+    e = toxicity.train(d, label, F.lit(False))
+    assert sorted(zip(e.ids, e.labels.tolist(), strict=True)) == [(1, 1.0), (2, 0.0)]
 
 
 def plain_ctw(train, text):
