@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first 4 to 6 letters of words; every term of every example is
-indexed. A term's weight is (1 + log tf) * idf * (1 + relevance), where relevance,
-|log odds ratio| * max(|z| - 2, 0) of the term's share in the examples of label 1
-against label 0, is zero for terms that say nothing about the label. Plain weights
-leave the neighbours to the many words of no meaning for the label (README, figures).
-
-The examples' postings are kept by term in blocks of examples, each with its greatest
-weight. A search adds up, for every block, the query's weights times those maxima; the
-blocks with the greatest sums are scored first, then all others whose sum reaches the
-k-th best similarity found, so the result is the exact nearest k. Their votes, weighted
+Terms are the first six letters of words; every term of every example is indexed. A
+term's weight is (1 + log tf) * idf * (1 + relevance), where relevance, |log odds ratio| *
+max(|z| - 2, 0) of the term's share in the examples of label 1 against label 0, is zero
+for terms that say nothing about the label. Plain weights leave the neighbours to the
+many words of no meaning for the label (README, figures).
+
+The examples' postings are kept by term: of terms in many examples in blocks of examples,
+each with its greatest weight, of the others as lists. A search adds up the lists, and
+for every block the query's weights times those maxima; the blocks with the greatest
+sums are scored first, then all others whose sum reaches the k-th best similarity
+found, so the result is the exact nearest k. Their votes, weighted
 by similarity, are calibrated by centred isotonic regression over the examples' own
 votes, each example left out of its own search and of its own terms' counts.
 """
@@ -27,18 +28,16 @@ from pyspark.sql import functions as F
 
 from .base import texts
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: A term: a word's letters, the first six of them.
+_TERM = re.compile(r"([^\W\d_]{1,6})[^\W\d_]*")
 _BLOCK = 64
 _FIRST = 4  # blocks that are scored before the others are judged by their bound
+_OFTEN = 16  # a term that one in so many examples holds has postings in whole blocks
 
 
-def word_terms(word: str) -> list[str]:
-    """A word's terms: itself, and its first 4, 5 and 6 letters marked as such."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
-
-
-def doc_words(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+def doc_terms(text: str) -> Counter:
+    """How often each term occurs in a text."""
+    return Counter(_TERM.findall(text.lower()))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -58,12 +57,11 @@ def weights(n: np.ndarray, n1: np.ndarray, all_n: float, all_n1: float) -> np.nd
 class Examples:
     """Labelled examples with a block-max inverted index over all their terms."""
 
-    def __init__(self, ids: list, words: list[Counter], labels: np.ndarray, k: int = 15, prior: float = 0.1, shrink: float = 0.1):
+    def __init__(self, ids: list, terms: list[Counter], labels: np.ndarray, k: int = 15, prior: float = 0.1, shrink: float = 0.1):
         self.k, self.prior, self.shrink = k, prior, shrink
-        self.known: dict[str, tuple[int, ...]] = {}
         self.steps = (np.zeros(0), np.zeros(0))
-        self.term = {t: i for i, t in enumerate(sorted({t for c in words for w in c for t in word_terms(w)}))}
-        counts = [self._counts(c) for c in words]
+        self.term = {t: i for i, t in enumerate(sorted(set().union(*terms)))}
+        counts = [self._counts(c) for c in terms]
         self.all_n, self.all_n1 = len(ids), float(np.sum(labels))
         flat = np.concatenate([a for a, _ in counts]) if counts else np.zeros(0, np.int64)
         y = np.repeat(np.asarray(labels, np.float64), [len(a) for a, _ in counts])
@@ -72,22 +70,11 @@ class Examples:
         self.weight = weights(self.n, self.n1, self.all_n, self.all_n1)
         self._index(ids, [self._unit(a, n, self.weight[a]) for a, n in counts], np.asarray(labels, np.float64))
 
-    def _counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, ascending; how often each occurs) of a text's known terms."""
-        known, term, flat, times = self.known, self.term, [], []
-        for w, n in words.items():
-            ids = known.get(w)
-            if ids is None:
-                ids = tuple(term[t] for t in word_terms(w) if t in term)
-                if len(known) > 200_000:
-                    known.clear()
-                known[w] = ids
-            flat.extend(ids)
-            times.extend([n] * len(ids))
-        if not flat:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, place = np.unique(np.array(flat, np.int64), return_inverse=True)
-        return at, np.bincount(place, np.array(times, np.float64))
+    def _counts(self, terms: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, how often each occurs) of a text's known terms."""
+        at = np.fromiter((self.term.get(t, -1) for t in terms), np.int64, len(terms))
+        n = np.fromiter(terms.values(), np.float64, len(terms))
+        return at[at >= 0], n[at >= 0]
 
     @staticmethod
     def _unit(at: np.ndarray, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +83,7 @@ class Examples:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, weights of length 1); none for a text without a known term."""
-        at, n = self._counts(doc_words(text))
+        at, n = self._counts(doc_terms(text))
         return self._unit(at, n, self.weight[at])
 
     def _index(self, ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
@@ -110,44 +97,46 @@ class Examples:
         doc = np.repeat(np.arange(len(order)), size)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
         value = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        by = np.lexsort((doc, term))
-        term, self.doc, self.value = term[by], doc[by].astype(np.int32), value[by].astype(np.float32)
         self.blocks = -(-len(order) // _BLOCK)
-        cell = term * max(self.blocks, 1) + self.doc // _BLOCK
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.start = np.concatenate([first, [len(cell)]]).astype(np.int32)  # of each cell's postings
-        self.block = (self.doc[first] // _BLOCK).astype(np.int16)
-        self.most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0, np.float32)
-        self.cells = np.searchsorted(term[first], np.arange(len(self.term) + 1)).astype(np.int32)  # of each term
+        # Postings of terms that many examples hold are whole blocks; those of the others are lists.
+        often = np.flatnonzero(self.n * _OFTEN >= max(self.all_n, 1))
+        self.row = np.full(len(self.term), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.table = np.zeros((self.blocks, len(often), _BLOCK), np.float32)
+        row = self.row[term]
+        full = row >= 0
+        self.table[doc[full] // _BLOCK, row[full], doc[full] % _BLOCK] = value[full]
+        self.most = np.ascontiguousarray(self.table.max(2).T) if self.blocks else np.zeros((len(often), 0), np.float32)
+        doc, term, value = doc[~full], term[~full], value[~full]
+        by = np.lexsort((doc, term))
+        self.doc, self.value = doc[by].astype(np.int32), value[by].astype(np.float32)
+        self.start = np.searchsorted(term[by], np.arange(len(self.term) + 1)).astype(np.int32)
 
     def nearest(self, at: np.ndarray, v: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, similarities) of the k nearest with a similarity over 0; ties go to the lower number."""
-        s, e = self.cells[at], self.cells[at + 1]
-        cell, x = _ranges(s, e), np.repeat(v, e - s)
-        block = self.block[cell]
-        bound = np.bincount(block, x * self.most[cell], minlength=self.blocks)
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
+        if not self.blocks or not len(at):
+            return best_at, best
+        row = self.row[at]
+        full = row >= 0
+        row, x, few = row[full], v[full].astype(np.float32), at[~full]
+        s, e = self.start[few], self.start[few + 1]
+        hold = _ranges(s, e)
+        own = np.bincount(self.doc[hold], np.repeat(v[~full], e - s) * self.value[hold], minlength=self.blocks * _BLOCK).reshape(self.blocks, _BLOCK)
+        bound = own.max(1) + x @ self.most[row]
         left = bound > 0
         while left.any():
-            go = np.zeros(self.blocks, bool)
             if len(best) < self.k:
-                few = np.flatnonzero(left)
-                go[few[np.argsort(-bound[few], kind="stable")[:_FIRST]]] = True
+                some = np.flatnonzero(left)
+                go = some[np.argsort(-bound[some], kind="stable")[:_FIRST]]
             else:
-                go = left & (bound >= best[-1] - 1e-9)
-                if not go.any():
-                    break
-                left &= go
-            left &= ~go
-            mine = go[block]
-            c, w = cell[mine], x[mine]
-            s, e = self.start[c], self.start[c + 1]
-            hold = _ranges(s, e)
-            own = np.bincount(self.doc[hold], np.repeat(w, e - s) * self.value[hold])
-            if 0 <= without < len(own):
-                own[without] = 0
-            hit = np.flatnonzero(own)
-            best_at, best = np.concatenate([best_at, hit]), np.concatenate([best, own[hit]])
+                left &= bound >= best[-1] - 1e-5
+                go = np.flatnonzero(left)
+            left[go] = False
+            got = own[go] + x @ self.table[go[:, None], row[None, :]]
+            number = (go[:, None] * _BLOCK + np.arange(_BLOCK)).ravel()
+            hit = (got.ravel() > 0) & (number != without)
+            best_at, best = np.concatenate([best_at, number[hit]]), np.concatenate([best, got.ravel()[hit]])
             top = np.lexsort((best_at, -best))[: self.k]
             best_at, best = best_at[top], best[top]
         return best_at, best
@@ -155,9 +144,9 @@ class Examples:
     def vote(self, near: np.ndarray, similarity: np.ndarray) -> float:
         return float(((similarity * self.labels[near]).sum() + self.shrink * self.prior) / (similarity.sum() + self.shrink))
 
-    def own_vote(self, number: int, words: Counter, label: float) -> float:
+    def own_vote(self, number: int, terms: Counter, label: float) -> float:
         """The vote of an example that is itself left out: of the search, and of the counts that weigh its terms."""
-        at, n = self._counts(words)
+        at, n = self._counts(terms)
         weight = weights(self.n[at] - 1, self.n1[at] - label, self.all_n - 1, self.all_n1 - label)
         return self.vote(*self.nearest(*self._unit(at, n, weight), without=number))
 
@@ -190,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     labels: doc_id, label (0 or 1; others and nulls are passed over; a document with
     both is of label 1). The documented bounds: of each label, the `examples` / 2 rows
     first by hash make the index and its counts, the `calibration` / 2 first the
-    calibration. The words of these alone reach the driver.
+    calibration. The terms of these alone reach the driver.
     """
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
@@ -200,19 +189,19 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     if len(totals) < 2:
         return Examples([], [], np.zeros(0), k, prior)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [doc_words(x.as_py()) for x in b.column("text")]
+            found = [doc_terms(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("label"), b.column("h"), pa.array([" ".join(c) for c in found], pa.string()), pa.array([np.array(list(c.values()), np.int32).tobytes() for c in found], pa.binary())],
-                ["doc_id", "label", "h", "words", "times"],
+                ["doc_id", "label", "h", "terms", "times"],
             )
 
     first = lambda y: known.where(F.col("label") == y).orderBy("h", "doc_id").limit(examples // 2)
     chosen = F.broadcast(first(1).unionByName(first(0)))  # `examples` rows of numbers
-    got = texts(docs).join(chosen, "doc_id").select("doc_id", "label", "h", "text").mapInArrow(words, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, words string, times binary").collect()
-    got.sort(key=lambda r: (r["label"], r["h"], str(r["doc_id"]), r["words"]))
-    count = [Counter(dict(zip(r["words"].split(), np.frombuffer(r["times"], np.int32).tolist(), strict=True))) for r in got]
+    got = texts(docs).join(chosen, "doc_id").select("doc_id", "label", "h", "text").mapInArrow(terms, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, terms string, times binary").collect()
+    got.sort(key=lambda r: (r["label"], r["h"], str(r["doc_id"]), r["terms"]))
+    count = [Counter(dict(zip(r["terms"].split(), np.frombuffer(r["times"], np.int32).tolist(), strict=True))) for r in got]
     y = np.array([r["label"] for r in got], np.float64)
     if not 0 < y.sum() < len(y):  # labelled rows without a document
         return Examples([], [], np.zeros(0), k, prior)
@@ -221,7 +210,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     some = np.concatenate([np.flatnonzero(y == c)[: calibration // 2] for c in (0, 1)])
     votes = np.array([e.own_vote(e.place[i], count[i], y[i]) for i in some])
     e.calibrate(votes, y[some], np.array([share[int(c)] for c in y[some]]))
-    e.known.clear()
     return e
 
 

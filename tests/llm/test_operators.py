@@ -151,15 +151,7 @@ def test_components_of_a_long_chain(spark):
 def plain_neighbours(e, words):
     """A function to scores and similarities by the book: every example's whole vector against the text's, in dictionaries."""
     many, many1 = len(words), sum(y for _, y in words.values())
-
-    def terms(c):
-        out = Counter()
-        for w, k in c.items():
-            for t in toxicity.word_terms(w):
-                out[t] += k
-        return out
-
-    of = {i: (terms(c), y) for i, (c, y) in words.items()}
+    of = words
     n, n1 = Counter(t for c, _ in of.values() for t in c), Counter(t for c, y in of.values() if y for t in c)
 
     def weight(t):
@@ -177,7 +169,7 @@ def plain_neighbours(e, words):
     units = {i: unit(c) for i, (c, _) in of.items()}
 
     def search(found):
-        q = unit(terms(found))
+        q = unit(found)
         near = sorted(((sum(x * u.get(t, 0) for t, x in q.items()), i) for i, u in units.items()), reverse=True)
         near = [(s, i) for s, i in near if s > 0][: e.k]
         vote = (sum(s * of[i][1] for s, i in near) + e.shrink * e.prior) / (sum(s for s, _ in near) + e.shrink)
@@ -188,14 +180,14 @@ def plain_neighbours(e, words):
 
 def test_toxicity_equals_every_pair(spark, con, docs):
     mark = {i: y for i, y in con.execute("select doc_id, toxic from labels").fetchall() if zlib.crc32(str(i).encode()) % 4 != 2}
-    words = {i: (toxicity.doc_words(docs[i]), y) for i, y in mark.items()}
+    words = {i: (toxicity.doc_terms(docs[i]), y) for i, y in mark.items()}
     labels = spark.createDataFrame(list(mark.items()), "doc_id long, label int")
     e = toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), labels, F.lit(False))
     assert len(e.ids) == len(mark) and len(e.steps[0]) > 2
     got = {r.doc_id: r for r in queries.op4(spark, SF).collect()}
     search = plain_neighbours(e, words)
     for i, t in docs.items():
-        want, similar = search(toxicity.doc_words(t))
+        want, similar = search(toxicity.doc_terms(t))
         assert got[i].score == pytest.approx(want, abs=1e-4), i
         assert [x.similarity for x in got[i].evidence] == pytest.approx(similar[:3], abs=1e-5)
 
@@ -208,11 +200,11 @@ def test_blocks_that_cannot_hold_a_neighbour_are_all_that_is_left_out():
     e = toxicity.Examples(list(range(700)), texts, rng.integers(0, 2, 700), k=7)
     dense = np.zeros((700, len(e.term)))
     for i, c in enumerate(texts):
-        at, v = e.vector(" ".join(w for w, n in c.items() for _ in range(n)))
+        at, v = e.vector(" ".join(c.elements()))
         dense[e.place[i], at] = v
     for _ in range(200):
         c = make()
-        at, v = e.vector(" ".join(w for w, n in c.items() for _ in range(n)))
+        at, v = e.vector(" ".join(c.elements()))
         near, similarity = e.nearest(at, v)
         q = np.zeros(len(e.term))
         q[at] = v
