@@ -80,8 +80,10 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, bits: int, steps: int = 3
 def train(docs: DataFrame, ratings: DataFrame, grades: int, sample_rows: int = 3000, bits: int = 12) -> Ordinal | None:
     """A model from the `sample_rows` rated documents that come first by hash; None where there are under two grades.
 
-    ratings: doc_id, grade (0 to grades - 1; others and nulls are passed over). The
-    sample is the documented bound of what goes to the driver: sample_rows sparse rows.
+    ratings: doc_id, grade (0 to grades - 1; others and nulls are passed over; of two
+    grades for one document the lower holds). The sample is the documented bound of what
+    goes to the driver: sample_rows sparse rows, fitted in one order, so reruns agree; of
+    rows with one doc_id the least text stands for all.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +96,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample_rows: int = 3
             at, value = list(zip(*rows, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["grade", "at", "value"])
 
-    rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, grades - 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    got = texts(docs).join(chosen, "doc_id").select("text", "grade").mapInArrow(each, "grade int, at binary, value binary").limit(2 * sample_rows).collect()
+    got = texts(docs).join(chosen, "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("text", "grade").mapInArrow(each, "grade int, at binary, value binary").collect()
+    got.sort(key=lambda r: (r["grade"], r["at"], r["value"]))
     y = np.array([r["grade"] for r in got], int)
     if len(set(y.tolist())) < 2:
         return None

@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
     labels: doc_id, label (0 or 1; others and nulls are passed over; a document with
     both is of label 1). The documented bounds: of each label, the `examples` / 2 rows
     first by hash make the index and its counts, the `calibration` / 2 first the
-    calibration. The terms of these alone reach the driver.
+    calibration. The terms of these alone reach the driver; of rows with one doc_id the
+    least text stands for all.
     """
     known = labels.select("doc_id", F.col("label").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~F.coalesce(held_out, F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, examples: int =
 
     first = lambda y: known.where(F.col("label") == y).orderBy("h", "doc_id").limit(examples // 2)
     chosen = F.broadcast(first(1).unionByName(first(0)))  # `examples` rows of numbers
-    got = texts(docs).join(chosen, "doc_id").select("doc_id", "label", "h", "text").mapInArrow(terms, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, terms string, times binary").collect()
+    got = texts(docs).join(chosen, "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text")).mapInArrow(terms, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, h long, terms string, times binary").collect()
     got.sort(key=lambda r: (r["label"], r["h"], str(r["doc_id"]), r["terms"]))
     count = [Counter(dict(zip(r["terms"].split(), np.frombuffer(r["times"], np.int32).tolist(), strict=True))) for r in got]
     y = np.array([r["label"] for r in got], np.float64)

@@ -70,10 +70,45 @@ def docs(con):
     return dict(con.execute("select doc_id, text from documents").fetchall())
 
 
-def test_quality_tells_good_from_bad(spark, con):
-    grade = {a: b for a, b in con.execute("select doc_id, quality from labels").fetchall()}
-    got = [(r.accepted, grade[r.doc_id]) for r in queries.op1(spark, SF).collect() if r.doc_id in grade]
-    assert sum(a == bool(g) for a, g in got) / len(got) > 0.95
+def test_quality_on_rows_that_are_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    grades = quality.label_grades(spark.read.parquet(f"{sf}/labels.parquet"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.train(docs, grades.where(~held), 3)
+    assert model.cuts[0] < model.cuts[1]
+    got = quality.score(docs, model).join(grades.where(held), "doc_id").collect()
+    low = [r.accepted for r in got if r.grade == 0]
+    good = [r.accepted for r in got if r.grade > 0]
+    assert len(low) > 5 and sum(low) / len(low) < 0.15 and sum(good) / len(good) > 0.95
+    clean, toxic = ([r.expected_grade for r in got if r.grade == g] for g in (2, 1))
+    assert sum(clean) / len(clean) > sum(toxic) / len(toxic)
+
+
+def test_quality_query_equals_a_plain_scorer(spark, con, docs):
+    """Grams counted in dictionaries, the fitted weights looked up one by one."""
+    model = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), quality.label_grades(spark.read.parquet(f"{SF}/labels.parquet")), 3)
+    mask, shape = (1 << 64) - 1, [int(x) for x in quality._SHAPE]
+    slot = lambda g: (g * 0x9E3779B97F4A7C15 & mask) >> 64 - model.bits
+
+    def tails(text):
+        b = text.encode()
+        n = max(0, len(b) - 3)
+        grams = Counter(slot(int.from_bytes(b[i : i + 4], "big")) + (1 << model.bits) for i in range(n))
+        grams += Counter(slot(shape[b[i]] << 16 | shape[b[i + 1]] << 8 | shape[b[i + 2]]) for i in range(n))
+        f = sum(math.sqrt(c / n) * float(model.weights[s]) for s, c in grams.items())
+        return [1 / (1 + math.exp(-max(-30, min(30, f - c)))) for c in model.cuts]
+
+    for r in queries.op1(spark, SF).collect():
+        want = tails(docs[r.doc_id])
+        assert (r.expected_grade, r.tail) == pytest.approx((sum(want), want[0]), abs=1e-3) and r.accepted == (r.tail >= 0.5)
+
+
+def test_quality_takes_the_lower_of_two_grades(spark):
+    d = spark.createDataFrame([(1, "good words here"), (2, "zzzz qqqq"), (1, "other words")], "doc_id long, text string")
+    rate = lambda rows: quality.train(d, spark.createDataFrame(rows, "doc_id long, grade int"), 2)
+    a, b = rate([(1, 1), (2, 0), (2, 1)]), rate([(2, 0), (1, 1)])
+    assert (a.weights == b.weights).all() and (a.cuts == b.cuts).all()
 
 
 def test_ordinal_fit_finds_ordered_cuts():
@@ -86,6 +121,22 @@ def test_ordinal_fit_finds_ordered_cuts():
     assert m.cuts[0] < m.cuts[1] and (t[:, 0] >= t[:, 1]).all() and np.corrcoef(t.sum(1), y)[0, 1] > 0.6
 
 
+@pytest.mark.parametrize("most_broadcast", [1000, 0])
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups_with_hot_and_clashing_digests(spark, most_broadcast, weak):
+    rng = random.Random(5)
+    rows = [(i, "copy" if i % 3 == 0 else "pair" if i % 50 == 1 else rng.choice(["", None]) if i % 50 == 2 else f"text {i} {'x' * (i % 4)}") for i in range(400)]
+    rows += [(3, "copy"), (401, "text 4 "), (None, "text 5 x"), (None, "lone")]
+    digest = (lambda t: F.lpad(F.hex(F.length(t)), 2, "0")) if weak else (lambda t: F.sha2(t, 256))
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), F.col("doc_id") % 2 == 0, 100, most_broadcast, digest).collect()
+    of = {}
+    for i, t in rows:
+        of.setdefault(t or "", []).append(i)
+    keep = {t: max((i for i in x if i is not None), default=None) for t, x in of.items()}
+    want = sorted((str(i), str(keep[t or ""] if keep[t or ""] is not None else i), len(of[t or ""]), keep[t or ""] == i) for i, t in rows)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == want
+
+
 def test_fuse_filters_hold_their_keys():
     for n in (0, 1, 2, 10, 5000):
         keys = np.random.default_rng(n).integers(0, 1 << 63, n, np.uint64)
