@@ -514,3 +514,40 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs, con):
     left = {i for i in left if group[i] == i}
     leaked = {r[0] for r in con.execute(f"select doc_id from ({queries.ORACLE['op9_decontaminate']}) where contaminated").fetchall()}
     assert {r.doc_id for r in p.run(spark, SF).collect()} == left - leaked
+
+
+@pytest.fixture
+def odd_folder(spark, tmp_path):
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(9)] + [(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "a b c d e f g h i j"), (2, None), (3, "")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_odd_tables(spark, odd_folder, stage):
+    import corpus_pipeline as p
+
+    name, f = p.STAGES[stage]
+    d = odd_docs(spark)
+    got = f(spark, d, odd_folder)
+    ids = sorted(r.doc_id for r in got.collect())
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    assert f(spark, d.limit(0), odd_folder).collect() == []
+    if name != "mix":
+        assert got.columns == d.columns
+    if name == "exact_dedup":
+        best = {t: max(i for i in texts if texts[i] == t) for t in texts.values()}
+        assert ids == sorted(best.values())
+        none = spark.createDataFrame([(None, "one", None, 1, "k", 2, 3, "d", 4, 5)] * 2 + [(None, "two", None, 1, "k", 2, 3, "d", 4, 5)] * 2 + [(4, "other", None, 1, "k", 2, 3, "d", 4, 5)], d.schema)
+        twice = f(spark, d.unionByName(d).unionByName(none), odd_folder).collect()
+        assert sorted((str(r.doc_id), r.text or "") for r in twice) == sorted([(str(i), t) for t, i in best.items()] + [("None", "two"), ("4", "other")])
+    if name == "near_dedup":
+        fp = {i: brute_fingerprint(t) for i, t in texts.items()}
+        group = brute_components(sorted(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3)
+        assert ids == [i for i in sorted(fp) if group[i] == i]
+    if name == "decontaminate":
+        assert ids == [i for i in texts if i != 5]
+    if name == "mix":
+        assert ids == sorted(texts)
+    if name == "quality":
+        assert set(ids) <= set(texts)
