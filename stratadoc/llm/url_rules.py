@@ -1,16 +1,17 @@
 """URL filter rules by a sorted sweep over reversed-host keys. DataFrame functions only.
 
 A host's labels, reversed and each followed by "/", make its key (www.example.com:
-com/example/www/), so a rule's host and all its subdomains are the keys of one
-interval, from the rule's key to the same key with its last "/" replaced by "0", the
-next character. Intervals of different rules are nested or apart. Each interval's
-start carries the stack of rules that are active from there on, its end the stack
-below it. A sweep over the sorted union of urls and interval ends keeps the last
-stack seen; the url takes from it the longest rule whose path its own path starts with.
-
-The sweep is a window over slices of the urls. A slice is a hash of the row, so one
-host with a third of all urls is spread over every slice; the interval ends, which
-come from the rule table alone, are copied to each.
+com/example/www/), so the hosts whose rules a url falls under have the keys that its own
+starts with, one for each of its labels. Under each of these keys a rule is the interval
+of paths from its own to its own followed by 0xFF, which UTF-8 never holds. Intervals of
+one host are nested or apart: a start puts its rule on the stack of active rules, an end
+takes it off again, so it carries the rule around it, and the last rule that a sorted
+sweep has seen is the longest that holds. The longest over a url's keys wins.
+
+The sweep is a window over (key, salt), the union of urls and interval ends in the order
+of their paths. Keys with over 1 / (4 * partitions) of the urls (com, say) are spread
+over salts; interval ends, which come from the rule table alone, are copied to the salts
+of their own key. A url carries no rule but the one last seen.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, shuffle_partitions
+from .base import ascii_lower, checkpoint, shuffle_partitions
+
+#: Rule hosts that may be broadcast, to leave out the keys that have no rule; with more, all keys of a url are swept.
+MOST_BROADCAST = 1_000_000
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -33,31 +37,31 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
 
+def host_keys(host: Column) -> Column:
+    """The keys of a host and of all hosts that it is a subdomain of, its own last."""
+    labels = F.reverse(F.split(host, r"\."))
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "/"), F.lit("/")))
+
+
 def interval_ends(rules: DataFrame) -> DataFrame:
-    """(key, stack): the rules active from each key on. rules: host, path, verdict."""
+    """(key, at, rule): the innermost rule of a key's host from path `at` (bytes) on; a rule of nulls where none is left. rules: host, path, verdict."""
     r = (
         rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
         .where("host <> '' and verdict is not null")
         .groupBy("host", "path")
         .agg(F.max("verdict").alias("verdict"))  # of two verdicts for one rule, block holds
+        .withColumn("rule", F.struct("host", "path", "verdict"))
     )
-    own = r.select(host_key(F.col("host")).alias("key"), F.struct("host", "path", "verdict").alias("rule"))
-    above = (
-        r.select(F.col("host").alias("inner"), F.split("host", r"\.").alias("labels"))
-        .distinct()
-        .withColumn("labels", F.reverse("labels"))
-        .select(
-            F.concat(F.array_join("labels", "/"), F.lit("/")).alias("inner"),
-            F.explode(F.expr("transform(sequence(1, size(labels)), i -> concat(array_join(slice(labels, 1, i), '/'), '/'))")).alias("key"),
-        )
-    )
-    active = above.join(own, "key")
-    starts = active.groupBy(F.col("inner").alias("key")).agg(F.collect_list("rule").alias("stack"))
-    ends = active.groupBy("inner").agg(F.collect_list(F.when(F.col("key") != F.col("inner"), F.col("rule"))).alias("stack"))
-    return starts.unionByName(ends.select(F.expr("concat(substring(inner, 1, length(inner) - 1), '0')").alias("key"), "stack"))
+    shorter = F.expr("transform(filter(sequence(0, length(path)), n -> n < length(path)), n -> substring(path, 1, n))")
+    around = r.select("host", F.col("path").alias("inner"), F.explode(shorter).alias("path")).join(r.select("host", "path", F.col("rule").alias("outer")), ["host", "path"])
+    around = around.groupBy("host", F.col("inner").alias("path")).agg(F.max_by("outer", F.length("path")).alias("outer"))
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("host", "path", "verdict")])
+    key, at = host_key(F.col("host")).alias("key"), F.col("path").cast("binary")
+    ends = r.join(around, ["host", "path"], "left").select(key, F.concat(at, F.lit(b"\xff")).alias("at"), F.coalesce("outer", none).alias("rule"))
+    return r.select(key, at.alias("at"), "rule").unionByName(ends)
 
 
-def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", slices: int | None = None) -> DataFrame:
+def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", slices: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url).
 
     rules: host, path, verdict ("allow" or "block"). A rule fits its host and all
@@ -67,22 +71,31 @@ def apply_rules(pages: DataFrame, rules: DataFrame, default: str = "allow", slic
     verdict are passed over; a null rule path is empty. Null urls and urls without ://
     have empty host and path. Repeated rows stay repeated; an empty rule table gives
     `default` for all; an empty page table an empty result. Other columns are ignored.
+    slices: about how many parts the sweep is dealt into.
     """
     slices = slices or 4 * shuffle_partitions(pages.sparkSession)
     host, path = host_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.pmod(F.xxhash64("page_id", "url"), F.lit(slices)).cast("int").alias("slice"))
-    urls = urls.withColumns({"key": host_key(F.col("host")), "is_url": F.lit(1)})
-    ends = interval_ends(rules).select("key", "stack", F.lit(0).alias("is_url"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    swept = Window.partitionBy("slice").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = urls.unionByName(ends, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(swept)).where("is_url = 1")
-    best = F.expr(
-        "array_max(transform(filter(active, r -> startswith(path, r.path)), "
-        "r -> struct(length(r.host) + length(r.path) as n, length(r.host) as h, r.host as host, r.path as path, r.verdict as verdict)))"
-    )
-    return rows.withColumn("best", best).select(
+    ends = checkpoint(interval_ends(rules))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), F.explode(host_keys(host)).alias("key")).withColumn("own", F.col("key") == host_key(F.col("host")))
+    hosts = ends.select("key", F.lit(True).alias("ruled")).distinct()
+    if hosts.limit(most_broadcast + 1).count() <= most_broadcast:
+        urls = urls.join(F.broadcast(hosts), "key", "left").where("own or ruled")
+    rows = checkpoint(urls.groupBy("key").agg(F.count("*").alias("n")))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    often = rows.where(F.col("n") * slices > total).select("key", F.ceil(F.col("n") * slices / F.lit(max(total, 1))).cast("int").alias("salts"))  # at most slices + keys of a url
+    spread = lambda df, salt: df.join(F.broadcast(often), "key", "left").withColumn("salt", salt).drop("salts")
+    urls = spread(urls, F.coalesce(F.pmod(F.xxhash64("page_id", "host", "path"), F.col("salts")), F.lit(0)).cast("int"))
+    ends = spread(ends, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    both = urls.select("key", "salt", F.col("path").cast("binary").alias("at"), F.lit(1).alias("is_url"), "page_id", "host", "path", "own").unionByName(ends.withColumn("is_url", F.lit(0)), allowMissingColumns=True)
+    swept = Window.partitionBy("key", "salt").orderBy("at", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("rule", F.last("rule", ignorenulls=True).over(swept)).where("is_url = 1")
+    size = F.when(F.col("rule.host").isNotNull(), F.struct((F.length("rule.host") + F.length("rule.path")).alias("n"), F.length("rule.host").alias("h"), "rule"))
+    # A row has its own key once, so a sum of these counts the rows that repeat.
+    best = found.groupBy("page_id", "host", "path").agg(F.max(size).alias("best"), F.sum(F.col("own").cast("int")).alias("copies"))
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "page_id",
         "host",
         "path",
-        F.concat("best.host", "best.path").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        F.concat("best.rule.host", "best.rule.path").alias("rule"),
+        F.coalesce("best.rule.verdict", F.lit(default)).alias("verdict"),
     )

@@ -391,6 +391,29 @@ def test_url_rules_on_random_hosts(spark):
         assert (r.rule, r.verdict) == ((want[2], max(f[3] for f in fit if f[:3] == want[:3])) if want else (None, "allow"))
 
 
+def test_url_rules_on_odd_tables(spark):
+    clash = "page_id long, url string, key string, at string, rule string, salt int, own boolean, n int, html string"
+    urls = [None, "", "x", "http://", "http://a.b/p/q", "http://a.b/p/q", "http://.b/", "http://b./p", "http://a..b/p􏿿", "http://b/" + "p/" * 3000, "http://b/p\x00", "HTTP://A.B/P"]
+    rows = [(i // 2 if i < 10 else None, u, "k", "a", "r", 1, True, 1, "h") for i, u in enumerate(urls)]
+    rule = [("b", None, "allow"), ("B", "/p", "block"), ("b", "/p", "allow"), ("a.b", "/p/q", "allow"), ("b", "/p/", "allow"), (None, "/", "block"), ("", "/", "block"), ("b", "/x", None), ("b", "/p􏿿", "allow")]
+    rules = [("b", "", "allow"), ("b", "/p", "block"), ("a.b", "/p/q", "allow"), ("b", "/p/", "allow"), ("b", "/p􏿿", "allow")]
+    pages, table = spark.createDataFrame(rows, clash), spark.createDataFrame(rule, "host string, path string, verdict string")
+
+    def want(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group().lower()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *max(fit, default=(0, 0, None, "allow"))[2:])
+
+    for most in (100, 0):
+        for d in (pages, pages.unionByName(pages)):
+            got = url_rules.apply_rules(d, table, slices=5, most_broadcast=most).collect()
+            assert sorted(map(repr, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(repr((r.page_id, *want(r.url))) for r in d.collect())
+    assert url_rules.apply_rules(pages.limit(0), table).collect() == []
+    assert {(r.rule, r.verdict) for r in url_rules.apply_rules(pages, table.limit(0), "block").collect()} == {(None, "block")}
+
+
 def brute_spans(docs, length=100):
     seen, out = set(), {}
     for i in sorted(docs):
