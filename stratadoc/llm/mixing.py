@@ -55,14 +55,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: in
     first word is due; null if nothing is taken. positions: the same for each pass over
     the document, the last perhaps in part; empty if nothing is taken. A null source is a source, the last.
     Repeated rows each count; reruns agree. An empty table gives an empty result; other
-    columns are ignored. bucket_digits: hex digits of md5 that make a bucket.
+    columns are ignored. Rows without a doc_id stand in the order of md5 of their texts.
+    bucket_digits: hex digits of md5 that make a bucket.
     """
     d = docs.select(
         "doc_id",
         "source",
         F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit(""))).alias("sk"),
         F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("okey"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col("text")), F.lit(""))).alias("okey"),
     ).withColumn("bucket", F.substring("okey", 1, bucket_digits))
     buckets = d.groupBy("sk", "bucket").agg(F.sum("size").alias("bucket_size"))
     goals = source_targets(buckets.groupBy("sk").agg(F.sum("bucket_size").alias("source_size")), weights, most_epochs)
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_epochs: in
 
     def due(before: Column) -> Column:
         u = before / F.col("target")
-        return F.when(k == 0, u).otherwise((k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * u)) / (2 * k))
+        return F.when(k == 0, u).otherwise(F.abs((k - 1 + F.sqrt((1 - k) * (1 - k) + 4 * k * u)) / (2 * k)))  # no -0.0
 
     count = F.ceil(F.col("taken") / F.col("size")).cast("int")  # a pass in part is the last
     each = F.transform(F.sequence(F.lit(0), count - 1), lambda i: due(F.col("before") + i * F.col("source_size")))

@@ -64,8 +64,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL gives the first position alone; the pipeline keeps those of all passes.
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("positions")
+    # The positions of all passes stay with the operator and the pipeline; here their number and the last.
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({"places": F.size("positions").cast("long"), "last_position": F.try_element_at("positions", F.lit(-1))}).drop("positions")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +134,15 @@ ORACLE: dict[str, str] = {
             from d join t on d.source is not distinct from t.source
         ), y as (
             select *, least(passes * size + greatest(0, least(size, round(target)::bigint - passes * source_size - before)), 3 * size)::bigint as taken from x
+        ), z as (
+            select *, case when taken > 0 then ceil(taken / size)::bigint else 0 end as places from y
         )
-        select doc_id, source, size, source_size, target, taken,
+        select doc_id, source, size, source_size, target, taken, places,
                case when taken > 0 then case when slope = 0 then before / target
-                    else (slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * (before / target))) / (2 * slope) end end as position
-        from y""",
+                    else abs((slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * (before / target))) / (2 * slope)) end end as position,
+               case when taken > 0 then case when slope = 0 then (before + (places - 1) * source_size) / target
+                    else abs((slope - 1 + sqrt((1 - slope) * (1 - slope) + 4 * slope * ((before + (places - 1) * source_size) / target))) / (2 * slope)) end end as last_position
+        from z""",
     "op9_decontaminate": r"""
         with d as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents

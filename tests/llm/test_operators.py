@@ -486,6 +486,25 @@ def test_each_pass_has_its_position(spark):
             assert r.position == (r.positions[0] if r.positions else None)
 
 
+def test_the_mix_follows_its_schedules(spark):
+    """Words placed by time t against the schedules added up step by step, and every source present to the end."""
+    sf = "/root/testdata/sf0.01"
+    rows = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    names = sorted({r.source for r in rows})
+    longest = max(r.size for r in rows)
+    for n, s in enumerate(names):
+        mine = [r for r in rows if r.source == s]
+        slope, target, size = (0.0, 0.5, -0.5)[n % 3], mine[0].target, mine[0].source_size
+        due = sorted((t, r.size) for r in mine for t in r.positions)
+        step, asked = 1 / 1000, 0.0
+        for k in range(1000):
+            asked += target * (1 + slope * (2 * (k + 0.5) * step - 1)) * step
+            placed = sum(w for t, w in due if t < (k + 1) * step) if k % 100 == 99 else None
+            assert placed is None or abs(placed - asked) <= longest + 1, (s, k)
+        assert max(t for t, _ in due) > 1 - 2 * longest / target - 1e-9
+        assert all(len(r.positions) <= 3 for r in mine) and size == sum(r.size for r in mine)
+
+
 def test_every_shared_span_is_found(spark):
     rng = random.Random(11)
     word = lambda: "w" + str(rng.randrange(30))
