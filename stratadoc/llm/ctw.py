@@ -6,8 +6,8 @@ Krichevsky-Trofimov estimate, and the weighted probability
 
     Pw = 1/2 * Pe + 1/2 * product of the children's Pw        (Pw = Pe at full depth)
 
-so that predicting along a path mixes the estimates of all depths. A path ends at the
-deepest context seen in training. The sum over a text's bytes and its end is its code
+so that predicting along a path mixes the estimates of all depths; a context that was
+not seen in training gives one half. The sum over a text's bytes and its end is its code
 length; 0xFF, which UTF-8 never uses, stands before its beginning and for its end. As
 for the words of the base score, A-Z are lower-cased first.
 
@@ -98,10 +98,11 @@ class Level:
         self.parent = at
         return out
 
-    def mix(self, done: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(1) if the path ends here; and what is settled and open for the children. done, open_: the same from above."""
+    def mix(self, done: np.ndarray, open_: np.ndarray, full: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(1) if the next context was not seen, which the tree gives one half; and what is settled and open for the children. done, open_: the same from above; full: at full depth a node's own estimate is all."""
         own = np.exp(self.kt - math.log(2) - self.pw)
-        return done + open_ * self.one, done + open_ * own * self.one, open_ * (1 - own)
+        settled, rest = done + open_ * own * self.one, open_ * (1 - own)
+        return (done + open_ * self.one if full else settled + rest / 2), settled, rest
 
 
 def _bits(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +153,7 @@ def code_lengths(gram: np.ndarray, n: np.ndarray, top: Top) -> np.ndarray:
         at, _ = _find(top.key1, levels[0].key & np.uint64(0xFFFF))
         done, open_ = top.done[at], top.open[at]
         for i, level in enumerate(levels):
-            own, done, open_ = level.mix(done, open_)
+            own, done, open_ = level.mix(done, open_, i == len(levels) - 1)
             p.append(own)
             if i < len(levels) - 1:
                 done, open_ = done[levels[i + 1].parent], open_[levels[i + 1].parent]
@@ -394,7 +395,7 @@ def _scored(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBa
         value = np.concatenate([values.pop(c) for c in sorted(values)])
         of_gram = Slots(key[order], value)
         del key, order
-        total, n_tokens, n_known, base = [], [], [], []
+        total, n_tokens, n_known, base, n_bytes = [], [], [], [], []
         for some in _steps(raws):
             code, start = _grams(some)
             total.append(np.add.reduceat(of_gram.of(code), start))
@@ -402,10 +403,13 @@ def _scored(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBa
                 found = _WORD.findall(r)
                 found.append(_STOP)
                 v = np.fromiter(map(of_word.__getitem__, found), np.float64, len(found))
+                n_bytes.append(len(r) + 1)
                 n_tokens.append(len(v))
                 n_known.append(int((v > known).sum()))
                 base.append(float(v.sum()))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(train, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(np.concatenate(total))], names=["doc_id", "train", "n_tokens", "n_known", "base", "score"])
+        whole = np.concatenate(total)
+        columns = [pa.array(train, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(whole), pa.array(-whole * math.log2(10) / n_bytes)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], names=["doc_id", "train", "n_tokens", "n_known", "base", "score", "bits_per_byte"])
 
     at = None
     for b in held:
@@ -433,11 +437,12 @@ def _scored(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBa
         yield told()
 
 
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups: int = 256) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs (doc_id, text).
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row of docs (doc_id, text).
 
     held_out: true for rows that nothing is learnt from (null: false). score: log10
-    probability of the whole text and its end under the tree. base_score: the same of
+    probability of the whole text and its end under the tree; bits_per_byte: that code
+    length in bits over the bytes of the text, its end counted as one. base_score: the same of
     its words and end, A-Z lower-cased, each with add-half counts over the training
     words. A null or empty text is its end alone. Without training rows each bit has
     probability one half. Repeated rows stay and count each; an empty table gives an
@@ -447,6 +452,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
+    groups = groups or min(1 << 16, max(256, 4 * blocks))
     d = texts(docs).withColumns({"train": ~F.coalesce(held_out, F.lit(False)), "block": F.pmod(F.xxhash64("doc_id"), F.lit(blocks))})
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
@@ -473,7 +479,7 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups
     base = words.select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "word", F.log10(F.col("n") + 0.5).alias("base"))
     every = priced.withColumn("kind", F.lit(0)).unionByName(base, allowMissingColumns=True).unionByName(d.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     scored = every.repartition("block").sortWithinPartitions("block", "kind")
-    out = scored.mapInArrow(lambda rows: _scored(rows, groups), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double")
+    out = scored.mapInArrow(lambda rows: _scored(rows, groups), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double")
     return out.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
@@ -482,4 +488,5 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * math.log10(n_train + 0.5 * (v_train + 1))).alias("base_score"),
         "score",
+        "bits_per_byte",
     )

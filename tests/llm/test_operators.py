@@ -317,9 +317,9 @@ def plain_ctw(train, text):
         for n in known:
             a, b = count[n]
             one = (b + 0.5) / (a + b + 1)
-            share = 1.0 if n == known[-1] else math.exp(kt(a, b) - math.log(2) - pw(n))
+            share = 1.0 if len(n[0]) == ctw.DEPTH else math.exp(kt(a, b) - math.log(2) - pw(n))
             p, rest = p + rest * share * one, rest * (1 - share)
-        p = p if known else 0.5
+        p += rest / 2  # contexts not seen
         total += math.log10(p if bit else 1 - p)
     return total
 
@@ -331,7 +331,9 @@ def test_context_trees_equal_the_definition(spark):
     got = {r.doc_id: r for r in ctw.score(d, F.col("doc_id") % 3 == 0, block_bytes=100).collect()}
     train = [t.encode() for i, t in enumerate(texts) if i % 3]
     for i, t in enumerate(texts):
-        assert got[i].score == pytest.approx(plain_ctw(train, t.encode()), abs=1e-6), i
+        want = plain_ctw(train, t.encode())
+        assert got[i].score == pytest.approx(want, abs=1e-6), i
+        assert got[i].bits_per_byte == pytest.approx(-want * math.log2(10) / (len(t.encode()) + 1), abs=1e-6)
 
 
 def test_the_sixth_byte_before_counts(spark):
