@@ -18,13 +18,15 @@ the driver. Texts are dealt into blocks of about `block_bytes`; each block asks
 for each distinct gram and word that it holds and gets that gram's code length and that
 word's count back, so no model is broadcast and nothing moves for each occurrence. The
 distinct grams of a block move as one packed row for each class of subtrees, and their
-code lengths come back in the same order, without the grams.
+code lengths come back in the same order, without the grams; its distinct words move as
+one packed row for each hash class, and come back with their counts.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,11 +39,11 @@ from .base import checkpoint_folder, texts
 
 DEPTH = 6
 _END = 0xFF
-#: The end of a text among the words; no word holds a blank. (bytes.split() cuts at 0x20 and 0x09 to 0x0D alone.)
-_STOP = b" "
+#: The end of a text among the words, none of which is empty. (bytes.split() cuts at 0x20 and 0x09 to 0x0D alone.)
+_STOP = b""
 _STEP = 1 << 20
-#: Words of a block that a task holds before it sends them on.
-_MOST_WORDS = 150_000
+#: Distinct words of a block that a task holds before it sends them on.
+_MOST_WORDS = 600_000
 
 
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +204,11 @@ def _classed(gram: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(cls, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=groups))])
 
 
+_ASKED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("two", pa.int32()), ("key", pa.binary()), ("n", pa.binary())])
+
+
 def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    """For each block, its distinct grams, packed, a row for each class (two) with their counts over its training rows; and (block, word, times) for its words."""
-    schema = pa.schema([("block", pa.int64()), ("two", pa.int32()), ("gram", pa.binary()), ("n", pa.binary()), ("word", pa.binary()), ("times", pa.int64())])
+    """For each block, packed rows of a class (two) with counts over its training rows: its distinct grams (kind 0) and its distinct words (kind 1)."""
     grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     words: dict[int, Counter] = {}
     waiting: dict[tuple[int, bool], list[bytes]] = {}
@@ -228,6 +232,11 @@ def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBat
                 for w in found:
                     own.setdefault(w, 0)
 
+    def rows(block: int, kind: int, found: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        k = len(found)
+        columns = [pa.array([block] * k, pa.int64()), pa.array([kind] * k, pa.int32()), *map(pa.array, zip(*found, strict=True), (pa.int32(), pa.binary(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, schema=_ASKED)
+
     def told_grams(block: int) -> Iterator[pa.RecordBatch]:
         key, n = _merged(grams.pop(block))
         order, start = _classed(key, groups)
@@ -235,15 +244,18 @@ def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBat
         full = np.flatnonzero(np.diff(start))
         for i in range(0, len(full), 32):
             part = [(int(c), slice(start[c], start[c + 1])) for c in full[i : i + 32]]
-            k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array([c for c, _ in part], pa.int32()), pa.array([_pack(key[x]) for _, x in part], pa.binary()), pa.array([_planes(n[x]) for _, x in part], pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], schema=schema)
+            yield rows(block, 0, [(c, _pack(key[x]), _planes(n[x])) for c, x in part])
 
     def told_words(block: int) -> Iterator[pa.RecordBatch]:
-        own = sorted(words.pop(block).items())
-        for i in range(0, len(own), 100_000):
-            part = own[i : i + 100_000]
-            k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], schema=schema)
+        own = words.pop(block)
+        word, n = list(own), np.fromiter(own.values(), np.uint32, len(own))
+        cls = np.fromiter(map(zlib.crc32, word), np.uint32, len(word)) % np.uint32(groups)
+        order = np.argsort(cls, kind="stable")
+        start = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=groups))])
+        full = np.flatnonzero(np.diff(start)).tolist()
+        for i in range(0, len(full), 32):
+            part = [(c, order[start[c] : start[c + 1]]) for c in full[i : i + 32]]
+            yield rows(block, 1, [(c, b" ".join([word[j] for j in x.tolist()]), _planes(n[x])) for c, x in part])
 
     at = None
     for b in held:
@@ -262,7 +274,7 @@ def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBat
             if size[block, train] >= _STEP:
                 take(block, train)
                 if len(words[block]) > _MOST_WORDS:
-                    yield from told_words(block)
+                    yield from told_words(block)  # a word that comes again has a second row
     for key in list(waiting):
         take(*key)
     for block in list(grams):
@@ -273,7 +285,7 @@ def _asked(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBat
 
 def _counted(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the rows of _asked, sorted by class: each class's distinct grams with their counts over all blocks, packed, and its nodes of depth 2."""
-    schema = pa.schema([("two", pa.int32()), ("gram", pa.binary()), ("n", pa.binary()), ("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("pw", pa.float64())])
+    schema = pa.schema([("two", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("node", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("pw", pa.float64())])
 
     def told(two: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         gram, n = _merged(parts)
@@ -287,7 +299,7 @@ def _counted(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at, parts, waiting = None, [], 0
     for b in held:
-        for two, gram, n in zip(b.column("two").to_pylist(), b.column("gram"), b.column("n"), strict=True):
+        for two, gram, n in zip(b.column("two").to_pylist(), b.column("key"), b.column("n"), strict=True):
             if two != at:
                 if parts:
                     yield from told(at, parts)
@@ -306,7 +318,7 @@ def _priced(held: Iterator[pa.RecordBatch], top: Top) -> Iterator[pa.RecordBatch
     schema = pa.schema([("block", pa.int64()), ("two", pa.int32()), ("value", pa.binary())])
     at, parts, gram, value = None, [], None, None
     for b in held:
-        for block, two, packed, n in zip(b.column("block").to_pylist(), b.column("two").to_pylist(), b.column("gram"), b.column("n"), strict=True):
+        for block, two, packed, n in zip(b.column("block").to_pylist(), b.column("two").to_pylist(), b.column("key"), b.column("n"), strict=True):
             if two != at:
                 at, parts, gram = two, [], None
             if block is None:
@@ -319,6 +331,42 @@ def _priced(held: Iterator[pa.RecordBatch], top: Top) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([two], pa.int32()), pa.array([_planes(value[np.searchsorted(gram, mine)])], pa.binary())], schema=schema)
 
 
+def _counted_words(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of _asked, sorted by class: each class's distinct words with their counts over all blocks, packed, the sum of these and how many are above 0."""
+    schema = pa.schema([("two", pa.int32()), ("key", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("seen", pa.int64())])
+
+    def told() -> pa.RecordBatch:
+        n = np.fromiter(count.values(), np.int64, len(count))
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([b" ".join(count)], pa.binary()), pa.array([_planes(n)], pa.binary()), pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])], schema=schema)
+
+    at, count = None, {}
+    for b in held:
+        for two, key, n in zip(b.column("two").to_pylist(), b.column("key"), b.column("n"), strict=True):
+            if two != at:
+                if count:
+                    yield told()
+                at, count = two, {}
+            for w, c in zip(key.as_py().split(b" "), _numbers(n.as_py(), np.uint32).tolist(), strict=True):
+                count[w] = count.get(w, 0) + c
+    if count:
+        yield told()
+
+
+def _told_words(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, two, key, value): a block's words of a class with their counts over all blocks. Rows come sorted by class, that of _counted_words, which has no block, first."""
+    schema = pa.schema([("block", pa.int64()), ("two", pa.int32()), ("key", pa.binary()), ("value", pa.binary())])
+    count: dict[bytes, int] = {}
+    for b in held:
+        for block, two, key, n in zip(b.column("block").to_pylist(), b.column("two").to_pylist(), b.column("key"), b.column("n"), strict=True):
+            raw = key.as_py()
+            word = raw.split(b" ")
+            if block is None:
+                count = dict(zip(word, _numbers(n.as_py(), np.int64).tolist(), strict=True))
+                continue
+            mine = np.fromiter(map(count.__getitem__, word), np.int64, len(word))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([two], pa.int32()), pa.array([raw], pa.binary()), pa.array([_planes(mine)], pa.binary())], schema=schema)
+
+
 class Slots:
     """Values by gram: an open-addressed table of places, so that a lookup touches one of them or two."""
 
@@ -425,7 +473,8 @@ def _scored(held: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBa
             for c, v in zip(part.column("two").filter(pa.array(kind == 0)).to_pylist(), part.column("value").filter(pa.array(kind == 0)), strict=True):
                 values[c] = _numbers(v.as_py(), np.float64)
             is_word, is_text = pa.array(kind == 1), pa.array(kind == 2)
-            of_word.update(zip(part.column("word").filter(is_word).to_pylist(), part.column("base").filter(is_word).to_pylist(), strict=True))
+            for words, n in zip(part.column("key").filter(is_word), part.column("value").filter(is_word), strict=True):
+                of_word.update(zip(words.as_py().split(b" "), np.log10(_numbers(n.as_py(), np.int64) + 0.5).tolist(), strict=True))
             ids.append(part.column("doc_id").filter(is_text))
             train.extend(part.column("train").filter(is_text).to_pylist())
             raws.extend(t.as_py().encode().lower() for t in part.column("text").filter(is_text))
@@ -457,23 +506,27 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 20 << 20, groups
         df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    asked = d.repartition("block").sortWithinPartitions("block").mapInArrow(lambda held: _asked(held, groups), "block long, two int, gram binary, n binary, word binary, times long")
+    def by_class(counted: DataFrame, rows: DataFrame) -> DataFrame:
+        """A class's counts before the blocks' rows of it."""
+        both = counted.select("two", F.lit(None).cast("long").alias("block"), "key", "n").unionByName(rows.select("two", "block", "key", F.lit(None).cast("binary").alias("n")))
+        return both.repartition("two").sortWithinPartitions("two", F.col("block").asc_nulls_first())
+
+    asked = d.repartition("block").sortWithinPartitions("block").mapInArrow(lambda held: _asked(held, groups), "block long, kind int, two int, key binary, n binary")
     asked = kept(asked, "asked")
-    words = kept(asked.where("word is not null").groupBy("word").agg(F.sum("times").alias("n"), F.collect_set("block").alias("blocks")), "words")
-    told = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
+    grams, words = asked.where("kind = 0"), asked.where("kind = 1")
+    class_of = lambda rows: rows.select("two", "key", "n").repartition("two").sortWithinPartitions("two")
+    word_counts = kept(class_of(words).mapInArrow(_counted_words, "two int, key binary, n binary, total long, seen long"), "words")
+    told = word_counts.agg(F.sum("total").alias("n"), F.sum("seen").alias("v")).first()
     n_train, v_train = told["n"] or 0, told["v"] or 0
 
-    grams = asked.where("two is not null").select("two", "block", "gram", "n")
-    counted = grams.select("two", "gram", "n").repartition("two").sortWithinPartitions("two").mapInArrow(_counted, "two int, gram binary, n binary, node long, a double, b double, pw double")
-    counted = kept(counted, "counted")
+    counted = kept(class_of(grams).mapInArrow(_counted, "two int, key binary, n binary, node long, a double, b double, pw double"), "counted")
     upper = counted.where("node is not null").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("pw").alias("pw")).toPandas()  # at most 256 * 255 rows
     top = Top(upper["node"].to_numpy(np.int64).view(np.uint64), *(upper[c].to_numpy(np.float64) for c in ("a", "b", "pw")))
     held = spark.sparkContext.broadcast(top)
 
-    both = counted.where("node is null").select("two", F.lit(None).cast("long").alias("block"), "gram", "n").unionByName(grams.withColumn("n", F.lit(None).cast("binary")))
-    priced = both.repartition("two").sortWithinPartitions("two", F.col("block").asc_nulls_first()).mapInArrow(lambda rows: _priced(rows, held.value), "block long, two int, value binary")
-    base = words.select(F.explode("blocks").alias("block"), F.lit(1).alias("kind"), "word", F.log10(F.col("n") + 0.5).alias("base"))
-    every = priced.withColumn("kind", F.lit(0)).unionByName(base, allowMissingColumns=True).unionByName(d.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    priced = by_class(counted.where("node is null"), grams).mapInArrow(lambda rows: _priced(rows, held.value), "block long, two int, value binary")
+    known = by_class(word_counts, words).mapInArrow(_told_words, "block long, two int, key binary, value binary")
+    every = priced.withColumn("kind", F.lit(0)).unionByName(known.withColumn("kind", F.lit(1)), allowMissingColumns=True).unionByName(d.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     scored = every.repartition("block").sortWithinPartitions("block", "kind")
     out = scored.mapInArrow(lambda rows: _scored(rows, groups), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double")
     return out.select(
