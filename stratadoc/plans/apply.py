@@ -13,8 +13,9 @@ import json
 import re
 import tempfile
 import zipfile
+import zlib
 import xml.etree.ElementTree as ET
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -26,13 +27,9 @@ from ..sources import blocks as B
 from ..sources import docx, package
 from ..sources.package import w
 from . import config as C
+from . import install as I
 from .tools import Packages
 
-MC = "http://schemas.openxmlformats.org/markup-compatibility/2006"
-
-# The order of children that the format prescribes.
-PPR = "pStyle keepNext keepLines pageBreakBefore framePr widowControl numPr suppressLineNumbers pBdr shd tabs suppressAutoHyphens kinsoku wordWrap overflowPunct topLinePunct autoSpaceDE autoSpaceDN bidi adjustRightInd snapToGrid spacing ind contextualSpacing mirrorIndents suppressOverlap jc textDirection textAlignment textboxTightWrap outlineLvl divId cnfStyle rPr sectPr pPrChange".split()
-RPR = "rStyle rFonts b bCs i iCs caps smallCaps strike dstrike outline shadow emboss imprint noProof snapToGrid vanish webHidden color spacing w kern position sz szCs highlight u effect bdr shd fitText vertAlign rtl cs em lang eastAsianLayout specVanish oMath rPrChange".split()
 # Paper sizes in twips, portrait.
 PAPERS = {"A4": (11906, 16838), "A3": (16838, 23811), "A5": (8392, 11906), "Letter": (12240, 15840), "Legal": (12240, 20160), "B5": (9979, 14175), "16K": (10433, 14742)}
 
@@ -92,13 +89,7 @@ class Writer:
         self.config = config
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             self.parts = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
-        source = self.parts[package.DOCUMENT]
-        for _, (prefix, uri) in ET.iterparse(io.BytesIO(source), events=["start-ns"]):
-            if prefix and not re.fullmatch(r"ns\d+", prefix):
-                ET.register_namespace(prefix, uri)
-        self.root = ET.fromstring(source)
-        # Prefixes that the parser has dropped as unused must not be named here any more.
-        self.root.attrib.pop(f"{{{MC}}}Ignorable", None)
+        self.root = I.open_part(self.parts[package.DOCUMENT])
         self.body = self.root.find(w("body"))
         self.paragraphs = {i: e for i, (e, _) in enumerate(package._blocks(self.body), 1)}
         self.parent = {c: p for p in self.root.iter() for c in p}
@@ -147,26 +138,8 @@ class Writer:
                 home.append(B.element("p"))
         self.gone.add(p)
 
-    @staticmethod
-    def _merge(owner: ET.Element, name: str, order: list[str], new: list[ET.Element]) -> None:
-        """Properties put into the owner's: measures attribute by attribute, all else as a whole, in the prescribed order."""
-        box = owner.find(w(name))
-        if box is None:
-            box = ET.Element(w(name))
-            owner.insert(0, box)
-        for e in [c for x in new for c in x]:
-            old = box.find(e.tag)
-            if old is not None and e.tag in (w("spacing"), w("ind"), w("rFonts")):
-                old.attrib.update(e.attrib)
-            else:
-                if old is not None:
-                    box.remove(old)
-                box.append(e)
-        rank = {w(n): i for i, n in enumerate(order)}
-        box[:] = sorted(box, key=lambda c: rank.get(c.tag, len(rank) - 2))
-
     def restyle(self, p: ET.Element, style: str) -> None:
-        self._merge(p, "pPr", PPR, B.para_format(None, style))
+        I.merge(p, "pPr", I.PPR, B.para_format(None, style))
 
     def format(self, p: ET.Element, e: dict) -> None:
         clear = e.get("clearDirect") or []
@@ -180,10 +153,10 @@ class Writer:
                 for c in r.findall(w("rPr")):
                     r.remove(c)
         if e.get("styleId") or e.get("paraFormat"):
-            self._merge(p, "pPr", PPR, B.para_format(e.get("paraFormat"), e.get("styleId")))
+            I.merge(p, "pPr", I.PPR, B.para_format(e.get("paraFormat"), e.get("styleId")))
         if e.get("runFormat"):
             for r in p.findall(w("r")):
-                self._merge(r, "rPr", RPR, B.run_format(e["runFormat"]))
+                I.merge(r, "rPr", I.RPR, B.run_format(e["runFormat"]))
 
     def set_run(self, p: ET.Element, e: dict) -> None:
         """The text of one run: the one counted, else the k-th blank one (underlined white space)."""
@@ -199,7 +172,7 @@ class Writer:
             run.remove(c)
         run.extend(B.text_run(e["with"]))
         if e.get("format"):
-            self._merge(run, "rPr", RPR, B.run_format(e["format"]))
+            I.merge(run, "rPr", I.RPR, B.run_format(e["format"]))
 
     def merge(self, ps: list[ET.Element], keep: str) -> None:
         if len(ps) < 2 or len({self.parent[p] for p in ps}) > 1:
@@ -284,8 +257,16 @@ class Writer:
                 next(r for r in p.findall(w("r")) if t in list(r)).remove(t)
                 n -= 1
 
+    def strip_number(self, p: ET.Element, patterns: list[str]) -> None:
+        """The typed number at the start of a paragraph's own text goes: the first pattern that fits decides."""
+        text = "".join((t.text or "") if t.tag == w("t") else "\t" for r in p.findall(w("r")) for t in r if t.tag in (w("t"), w("tab"), w("br"), w("cr")))
+        for pattern in patterns:
+            if m := re.match(pattern, text):
+                self.strip(p, m.end())
+                return
+
     def page_setup(self) -> None:
-        """Sizes, orientation and margins of each section; a section's own setting beats the one for all, single numbers beat ranges."""
+        """Sizes, orientation, margins, columns and page numbers of each section; a section's own setting beats the one for all, single numbers beat ranges."""
         setup = self.config.get("pageSetup") or {}
         sections = [e for p in self.body for e in ([p] if p.tag == w("sectPr") else p.iterfind(f"{w('pPr')}/{w('sectPr')}") if p.tag == w("p") else [])]
         for i, s in enumerate(sections, 1):
@@ -316,6 +297,17 @@ class Writer:
                     s.append(margins)
                 for k, v in both["margins"].items():
                     margins.set(w(k), str(B.twips(v)))
+            if "columns" in both:
+                c = both["columns"] if isinstance(both["columns"], dict) else {"count": both["columns"]}
+                widths, spaces = c.get("widths"), c.get("spaces") or []
+                space = None if c.get("space") is None else B.twips(c["space"])
+                cols = B.element("cols", num=len(widths) if widths else int(c["count"]), space=space, sep="1" if c.get("separator") else None, equalWidth="0" if widths else None)
+                for k, v in enumerate(widths or []):
+                    cols.append(B.element("col", w=B.twips(v), space=B.twips(spaces[k]) if k < len(spaces) else space if k < len(widths) - 1 else None))
+                I.merge_one(s, cols)
+            if both.get("pgNumType"):
+                I.merge_one(s, B.element("pgNumType", fmt=both["pgNumType"].get("fmt"), start=both["pgNumType"].get("start")))
+            I.in_order(s, I.SECTION)
 
     def bytes(self) -> bytes:
         """The package with what was changed; all other parts as they were."""
@@ -333,11 +325,15 @@ class Writer:
                 types.insert(0, ET.Element(f"{{{package.TYPES}}}Default", {"Extension": ext, "ContentType": B.MEDIA[ext]}))
             self.parts["[Content_Types].xml"] = ET.tostring(types, encoding="UTF-8", xml_declaration=True)
             self.parts |= {f"word/{p}": data for data, (p, _) in self.doc.media.items()}
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-            for n, data in self.parts.items():
-                z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), data)
-        return out.getvalue()
+        return zipped(self.parts)
+
+
+def zipped(parts: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
+        for n, data in parts.items():
+            z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), data)
+    return out.getvalue()
 
 
 def held(d: DataFrame) -> DataFrame:
@@ -356,6 +352,27 @@ def opened(files: DataFrame) -> Packages:
 
 
 RESULT = "doc_id string, content binary, error string"
+#: What a package that is not as it should be can raise; its row says so, the others go on.
+BROKEN = (ValueError, KeyError, IndexError, AttributeError, TypeError, RuntimeError, NotImplementedError, OSError, ET.ParseError, zipfile.BadZipFile, zlib.error, re.error)
+
+
+def installed(files: DataFrame, config: dict) -> DataFrame:
+    """(doc_id, content, error): each package with the configuration's styles, numbering and theme fonts, in one map."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, content in zip(f["doc_id"], f["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        parts = {n: z.read(n) for n in z.namelist() if not n.endswith("/")}
+                    I.install(parts, config)
+                    rows.append((doc, zipped(parts), None))
+                except BROKEN as e:
+                    rows.append((doc, content, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "content", "error"])
+
+    return files.select("doc_id", "content").mapInPandas(each, RESULT)
 
 
 def _rewritten(files: DataFrame, plan: DataFrame, change: Callable[[Writer, pd.DataFrame], None], config: dict) -> DataFrame:
@@ -367,8 +384,8 @@ def _rewritten(files: DataFrame, plan: DataFrame, change: Callable[[Writer, pd.D
             writer = Writer(content, config)
             change(writer, rows)
             content = writer.bytes()
-        except (EditError, B.BlockError, KeyError, ET.ParseError, zipfile.BadZipFile) as e:
-            error = f"{type(e).__name__}: {e}"
+        except BROKEN as e:
+            content, error = old["content"].iloc[0], f"{type(e).__name__}: {e}"
         return pd.DataFrame({"doc_id": [old["doc_id"].iloc[0]], "content": [content], "error": [error]})
 
     return files.select("doc_id", "content").groupBy("doc_id").cogroup(plan.groupBy("doc_id")).applyInPandas(each, RESULT)
@@ -408,26 +425,80 @@ def route(p: Packages, config: dict) -> DataFrame:
     return rules.route(rows.withColumn("raw_fp", F.col("bulk_style")), patterns, key.where(out), key.withColumn("style", hand).where("style is not null"), {s: s for s in bulk.values()})
 
 
+def rule_faults(p: Packages, config: dict) -> DataFrame:
+    """(doc_id, fault): rules that name a style neither declared nor in the document, a paragraph or a look that it does not have."""
+    docs = p.parts.select("doc_id").distinct()
+    declared = [s["id"] for s in config.get("styles", [])]
+    given = [a for a in config.get("assignments", []) if a["action"] == "restyle"]
+    named = {x["style"] for key in ("pattern_rules", "bulk_rules") for x in config.get(key, [])} | {a["style"] for a in given}
+    index = {int(x) for x in config.get("exclude", [])} | {int(a["para"]) for a in config.get("assignments", [])}
+    marks = {b["fingerprint"] for b in config.get("bulk_rules", [])}
+
+    def missing(what: str, wanted: list, have: DataFrame) -> DataFrame:
+        each = docs.select("doc_id", F.explode(F.array(*[F.lit(x) for x in wanted])).alias("x")) if wanted else docs.select("doc_id", F.lit(None).alias("x")).where("false")
+        return each.join(have, ["doc_id", "x"], "left_anti").select("doc_id", F.concat(F.lit(f"{what} "), F.col("x").cast("string"), F.lit(" is not there")).alias("fault"))
+
+    style = missing("style", sorted(named - set(declared)), p.styles.where("id is not null").select("doc_id", F.col("id").alias("x")))
+    para = missing("paragraph", sorted(index), p.paragraphs.where("para_index is not null").select("doc_id", F.col("para_index").cast("int").alias("x")))
+    f = p.fingerprints()
+    look = missing("fingerprint", sorted(marks), f.select("doc_id", F.col("label").alias("x")).unionByName(f.select("doc_id", F.col("fp_hash").alias("x"))))
+    return style.unionByName(para).unionByName(look).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("fault")), "; ").alias("fault"))
+
+
 def apply_rules(files: DataFrame, config: dict) -> DataFrame:
-    """(doc_id, content, error) of files (doc_id, content) with the rules' styles set and what they strip gone."""
-    routed = route(opened(files), config)
+    """(doc_id, content, error) of files (doc_id, content) with the rules' styles set and what they strip gone; a document that a rule does not fit is left as it is."""
+    p = opened(files)
+    routed = route(p, config)
     cut = (F.length("text") - F.length("new_text")).alias("cut")
-    plan = routed.where("route not in ('keep', 'exclude') and new_style <> ''").select("doc_id", "para_seq", "new_style", cut)
+    plan = routed.where("route not in ('keep', 'exclude') and new_style <> ''").select("doc_id", "para_seq", "new_style", cut, F.lit(None).cast("string").alias("fault"))
+    plan = plan.unionByName(rule_faults(p, config), allowMissingColumns=True)
+    numbers = I.strip_patterns(config)
 
     def change(writer: Writer, rows: pd.DataFrame) -> None:
+        for fault in rows["fault"].dropna():
+            raise EditError(fault)
         for r in rows.itertuples():
             p = writer.paragraphs[int(r.para_seq)]
             writer.restyle(p, r.new_style)
             writer.strip(p, int(r.cut))
+            if r.new_style in numbers:
+                writer.strip_number(p, numbers[r.new_style])
         writer.page_setup()
 
     return _rewritten(files, plan, change, config)
 
 
+def problems(config: dict) -> list[str]:
+    """Beside the grammar's: keys that nothing acts on yet, and requirements of styles that are not declared."""
+    out = C.problems(config)
+    if out:
+        return out
+    out = [f"{k}: not implemented" for k in ("template", "headerFooter") if config.get(k)]
+    out += [f"styles[{i}].fromParagraph: not implemented" for i, s in enumerate(config.get("styles", [])) if "fromParagraph" in s]
+    out += [f"trackChanges: a {e['op']} edit can't be tracked" for e in config.get("edits", []) if config.get("trackChanges") and e["op"] in ("format", "set-run", "edit-caption")]
+    declared = {s["id"] for s in config.get("styles", [])}
+    out += [f'requirements: style "{k}" is not declared' for k in config.get("requirements", {}) if k not in declared]
+    acts = ("styles", "numbering", "theme", "edits", "assignments", "bulk_rules", "pattern_rules", "pageSetup")
+    return out + ([] if any(config.get(k) for k in acts) else ["config: nothing to do"])
+
+
 def apply(files: DataFrame, config: dict) -> DataFrame:
-    """(doc_id, content, error) of files (doc_id, content) under a whole configuration; the edited packages are held, so that the rules do not redo the edits."""
-    if found := C.problems(config):
+    """(doc_id, content, error) of files (doc_id, content) under a whole configuration: what it installs, its edits, its rules.
+
+    Each step is held, so that the next does not redo it. With dryRun every step runs and
+    says what fails, and content is what it was. A package that can't be read has a row
+    with an error; so has one that an edit or a rule does not fit.
+    """
+    if found := problems(config):
         raise C.ConfigError("\n".join(found))
-    edited = held(apply_edits(files, config)) if config.get("edits") else files.select("doc_id", "content", F.lit(None).cast("string").alias("error"))
-    done = apply_rules(edited.where("error is null"), config)
-    return done.unionByName(edited.where("error is not null"))
+    now = files.select("doc_id", "content", F.lit(None).cast("string").alias("error"))
+    if any(config.get(k) for k in ("styles", "numbering", "theme")):
+        now = held(installed(files, config))
+    if config.get("edits"):
+        now = held(apply_edits(now.where("error is null"), config).unionByName(now.where("error is not null")))
+    done = apply_rules(now.where("error is null"), config).unionByName(now.where("error is not null"))
+    if config.get("dryRun"):
+        return held(done.select("doc_id", "error")).join(files.select("doc_id", "content"), "doc_id").select("doc_id", "content", "error")
+    # a package that failed goes out as it came in
+    failed = done.where("error is not null").select("doc_id", "error")
+    return done.where("error is null").unionByName(files.select("doc_id", "content").join(failed, "doc_id"))

@@ -44,7 +44,7 @@ def test_edits_and_rules(files):
             {"op": "edit-caption", "target": {"captionId": "Figure", "index": 1}, "text": "new"},
             {"op": "merge", "at": {"type": "range", "from": 3, "to": 4}},
         ],
-        "pattern_rules": [{"regex": "five", "style": "Body", "stripMatch": False}, {"regex": "thr", "style": "Cut", "stripMatch": True}], "exclude": [3],
+        "styles": [{"id": "Body"}, {"id": "Cut"}], "pattern_rules": [{"regex": "five", "style": "Body", "stripMatch": False}, {"regex": "thr", "style": "Cut", "stripMatch": True}], "exclude": [3],
         "pageSetup": {"paperSize": "Letter", "sections": {"1": {"orientation": "landscape", "margins": {"left": "1cm"}}}},
     }
     out = P.apply(files, config).persist()
@@ -74,7 +74,7 @@ def test_tracked_changes(files):
 
 
 def test_looks_by_label_and_runs(files):
-    out = P.apply(files, {"output": "x", "bulk_rules": [{"fingerprint": "A", "style": "Text"}], "assignments": [{"para": 2, "action": "keep"}]})
+    out = P.apply(files, {"output": "x", "styles": [{"id": "Text"}], "bulk_rules": [{"fingerprint": "A", "style": "Text"}], "assignments": [{"para": 2, "action": "keep"}]})
     assert [s for s, _ in read(out)[1]][:5] == ["H1", None, "Text", "Text", "Text"]
     out = P.apply(files, {"output": "x", "edits": [{"op": "set-run", "at": {"type": "run", "paragraph": 2, "runIndex": 1}, "with": "t\tw", "format": {"bold": True}}, {"op": "format", "at": {"type": "paragraph", "index": 3}, "runFormat": {"size": 9}, "paraFormat": {"alignment": "right"}}]})
     p, got = read(out)
@@ -85,3 +85,57 @@ def test_looks_by_label_and_runs(files):
 def test_a_configuration_with_problems(files):
     with pytest.raises(C.ConfigError, match="output"):
         P.apply(files, {})
+
+
+def test_what_a_configuration_installs(spark, files):
+    config = {
+        "output": "x",
+        "styles": [
+            {"id": "H1", "name": "heading 1", "size": 16, "bold": False, "spaceBefore": 6, "firstLineIndent": "2char"},
+            {"id": "Sub", "basedOn": "heading 1", "outlineLevel": 1, "color": "FF0000", "overrides": {"color": "00FF00"}},
+            {"id": "Lost", "basedOn": "nobody", "italic": True},
+        ],
+        "numbering": {"levels": [{"level": 0, "numFmt": "decimal", "lvlText": "%1. ", "styleId": "Sub", "start": 4}, {"level": 1, "numFmt": "lowerLetter", "lvlText": "%1.%2", "styleId": "Lost"}]},
+        "theme": {"fonts": {"minorLatin": "Inter", "majorEastAsia": "Songti"}}, "requirements": {"H1": "large"},
+        "pattern_rules": [{"regex": ".*four", "style": "Sub"}], "pageSetup": {"columns": {"widths": ["5cm", "6cm"], "spaces": ["1cm"]}, "pgNumType": {"fmt": "upperRoman", "start": 3}},
+    }
+    bad = spark.createDataFrame([("junk", bytearray(b"not a zip")), ("empty", bytearray(b""))], "doc_id string, content binary")
+    out = P.apply(files.unionByName(bad), config).persist()
+    errors = {r.doc_id: r.error for r in out.collect()}
+    assert errors["a"] is None and errors["b"] is None and "BadZipFile" in errors["junk"] and "BadZipFile" in errors["empty"]
+    p, got = read(out)
+    assert got[3] == ("Sub", "four")  # its typed number is gone
+    style = {r.id: r for r in p.styles.collect()}
+    assert (style["H1"].size, style["H1"].bold, style["H1"].space_before, style["H1"].first_line_indent_chars, style["H1"].outline_level, style["H1"].based_on) == (32, False, 120, 200, 0, "Normal")
+    assert (style["Sub"].color, style["Sub"].outline_level, style["Sub"].based_on, style["Sub"].num_id, style["Sub"].num_level) == ("00FF00", 1, "H1", "3", 0)
+    assert (style["Lost"].italic, style["Lost"].based_on, style["Lost"].num_level) == (True, None, 1)
+    level = {r.level: r for r in p.numbering.where("num_id = '3'").collect()}
+    assert [(level[i].num_fmt, level[i].lvl_text, level[i].start, level[i].suff, level[i].p_style) for i in (0, 1)] == [("decimal", "%1.", 4, "space", "Sub"), ("lowerLetter", "%1.%2", 1, "nothing", "Lost")]
+    assert p.validate().count() == 0
+    parts = {r.path: bytes(r.content).decode() for r in docx.parts(out.where("doc_id = 'a'")).collect()}
+    assert 'typeface="Inter"' in parts["word/theme/theme1.xml"] and 'typeface="Songti"' in parts["word/theme/theme1.xml"]
+    assert 'w:num="2"' in parts["word/document.xml"] and 'w:fmt="upperRoman"' in parts["word/document.xml"]
+
+
+def test_a_dry_run_changes_no_byte(files):
+    config = {"output": "x", "dryRun": True, "styles": [{"id": "S"}], "exclude": [4], "edits": [{"op": "delete", "at": {"type": "paragraph", "index": 2}}], "pattern_rules": [{"regex": "f", "style": "Misspelt"}]}
+    before = {r.doc_id: bytes(r.content) for r in files.collect()}
+    got = P.apply(files, config).collect()
+    assert {r.doc_id: bytes(r.content) for r in got} == before
+    assert {r.doc_id: r.error for r in got} == {"a": "EditError: style Misspelt is not there", "b": "EditError: paragraph 4 is not there; style Misspelt is not there"}
+
+
+@pytest.mark.parametrize(
+    "more, says",
+    [
+        ({"template": {"source": "t", "styles": ["a"]}, "source": "s"}, "template"),
+        ({"headerFooter": {"header": {"default": para("x")}}}, "headerFooter"),
+        ({"styles": [{"id": "a", "fromParagraph": 1}]}, "fromParagraph"),
+        ({"styles": [{"id": "a"}], "requirements": {"b": "x"}}, 'style "b"'),
+        ({}, "nothing to do"),
+        ({"trackChanges": True, "edits": [{"op": "format", "at": {"type": "paragraph", "index": 1}, "styleId": "S"}]}, "can't be tracked"),
+    ],
+)
+def test_what_is_not_done_is_said(files, more, says):
+    with pytest.raises(C.ConfigError, match=says):
+        P.apply(files, {"output": "x", **more})
