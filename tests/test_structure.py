@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stratadoc import queries
+from stratadoc import queries, report_queries  # noqa: F401
 from stratadoc.functions import mathml
 from stratadoc.operators import cascade, ordered
 from tests.compare import oracle_rows, rows_of, tables
