@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import counters
+
 
 def raw(p: DataFrame) -> Column:
     """font|size|flags|color|alignment|indent|list of resolved columns; empty strings count as unset."""
@@ -30,10 +32,8 @@ def short_hash(c: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """A to Z, AA, AB, ...: n from 0, up to three letters."""
-    up = lambda x: F.chr(65 + x)
-    one, two, three = up(n % 26), up(F.floor(n / 26 - 1) % 26), up(F.floor((n - 702) / 676) % 26)
-    return F.when(n < 26, one).when(n < 702, F.concat(two, one)).otherwise(F.concat(three, up(F.floor((n - 702) / 26) % 26), one))
+    """A to Z, AA, AB, ...: n from 0; six letters name 321 million."""
+    return counters.alpha(n + 1)
 
 
 def summary(paragraphs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

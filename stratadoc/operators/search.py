@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pieces whose lengths are added up at a time.
+CHUNK = 256
+
 
 def find_paragraphs(paragraphs: DataFrame, pattern: str, limit: int | None = 50) -> DataFrame:
     """Paragraphs whose text matches; `limit` a document, in order (null: all). The filter runs before the window."""
@@ -15,13 +20,19 @@ def find_paragraphs(paragraphs: DataFrame, pattern: str, limit: int | None = 50)
 
 
 def find_literal(paragraphs: DataFrame, needle: str, context: int = 25) -> DataFrame:
-    """(doc_id, para_seq, ch, len, matched, context): occurrences that don't overlap, from 0; matches across a tab or line end are none.
+    """(doc_id, para_seq, ch, len, matched, context): occurrences that don't overlap, from 0; an empty needle, and one with a tab or line end, has none.
 
-    Offsets come from the lengths of the pieces between the occurrences.
+    Offsets are sums over the lengths of the pieces between the occurrences: over whole
+    chunks of them first, then inside one, so many hits in a paragraph stay cheap.
     """
     n = len(needle)
-    pieces = F.split("text", r"\Q" + needle + r"\E", -1)
-    at = F.expr(f"transform(sequence(1, size(pieces) - 1), i -> aggregate(slice(pieces, 1, i), 0, (a, x) -> a + length(x)) + (i - 1) * {n})")
+    if not needle or re.search(r"[\t\n]", needle):
+        paragraphs = paragraphs.where(F.lit(False))
+    pieces = F.split("text", re.sub(r"([^\w\s])", r"\\\1", needle) or "x", -1)
+    total = "aggregate(slice({}, {}, cast({} as int)), 0, (a, x) -> a + x)".format
+    chunks = f"transform(sequence(0, cast((size(l) - 1) div {CHUNK} as int)), c -> {total('l', f'c * {CHUNK} + 1', CHUNK)})"
+    one = f"{total('c', 1, f'(i - 1) div {CHUNK}')} + {total('l', f'cast((i - 1) div {CHUNK} as int) * {CHUNK} + 1', f'(i - 1) % {CHUNK} + 1')} - {n}"
+    at = F.expr(f"transform(array(transform(pieces, x -> length(x) + {n})), l -> transform(array({chunks}), c -> transform(sequence(1, size(l) - 1), i -> {one}))[0])[0]")
     r = paragraphs.where(F.contains(F.col("text"), F.lit(needle))).withColumn("pieces", pieces).where("size(pieces) > 1")
     r = r.select("doc_id", "para_seq", "text", F.explode(at).alias("ch"))
     return r.select("doc_id", "para_seq", F.col("ch").cast("long").alias("ch"), F.lit(n).cast("long").alias("len"), F.lit(needle).alias("matched"), around(F.col("text"), F.col("ch"), F.lit(n), context).alias("context"))
@@ -35,9 +46,9 @@ def around(text: Column, at: Column, n: Column, context: int) -> Column:
 
 
 def find_regex(paragraphs: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, para_seq, nth, matched): non-empty matches in order, by the JVM's expressions."""
+    """(doc_id, para_seq, nth, matched): non-empty matches in order, by the JVM's expressions; those across a tab or line end are none, and count in nth."""
     r = paragraphs.where(F.col("text").rlike(pattern)).select("doc_id", "para_seq", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("nth", "matched"))
-    return r.where("matched <> ''").select("doc_id", "para_seq", (F.col("nth") + 1).cast("long").alias("nth"), "matched")
+    return r.where((F.col("matched") != "") & ~F.col("matched").rlike(r"[\t\n]")).select("doc_id", "para_seq", (F.col("nth") + 1).cast("long").alias("nth"), "matched")
 
 
 def overlaps(hits: DataFrame, segments: DataFrame) -> DataFrame:
@@ -90,6 +101,6 @@ def typed_prefixes(paragraphs: DataFrame, numbered: DataFrame) -> DataFrame:
 
 def cjk_spacing(paragraphs: DataFrame, most: int = 5) -> DataFrame:
     """(doc_id, para_seq, nth, hit): spaces typed between CJK and Latin letters or digits, up to `most` a text: after CJK first, then before it."""
-    after, before = "([\\u4e00-\\u9fff] +[A-Za-z0-9])", "([A-Za-z0-9] +[\\u4e00-\\u9fff])"
+    after, before = "([\\u3400-\\u4dbf\\u4e00-\\u9fff] +[A-Za-z0-9])", "([A-Za-z0-9] +[\\u3400-\\u4dbf\\u4e00-\\u9fff])"
     hits = F.slice(F.concat(F.regexp_extract_all("text", F.lit(after), F.lit(1)), F.regexp_extract_all("text", F.lit(before), F.lit(1))), 1, most)
     return paragraphs.select("doc_id", "para_seq", F.posexplode(hits).alias("nth", "hit")).select("doc_id", "para_seq", (F.col("nth") + 1).cast("long").alias("nth"), "hit")

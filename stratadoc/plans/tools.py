@@ -58,15 +58,18 @@ class Packages:
         return ids.join(levels, ["doc_id", "abstract_id"]).select("doc_id", "num_id", "level", "num_fmt", "lvl_text", start.alias("start"), "is_lgl", "p_style", "suff")
 
     def looks(self) -> DataFrame:
-        """Indexed paragraphs that are not empty, with the formats they end up with (direct ones, those of the run with most text, then the style's) and raw_fp."""
-        longest = self.runs.where("region = 'body'").groupBy("doc_id", "para_seq").agg(F.max_by(F.struct(*[f for f in FORMATS if f in dict(self.runs.dtypes)]), F.struct(F.length("text"), F.col("run_idx"))).alias("run"))
+        """Indexed paragraphs that are not empty, with the formats they end up with (direct ones, those of the run with most text, its character style's, then the paragraph style's) and raw_fp."""
+        longest = self.runs.where("region = 'body'").groupBy("doc_id", "para_seq").agg(F.max_by(F.struct("run_style", *[f for f in FORMATS if f in dict(self.runs.dtypes)]), F.struct(F.length("text"), F.col("run_idx"))).alias("run"))
         p = self.paragraphs.where("para_index is not null and trim(text) <> ''").join(self.default_styles, "doc_id", "left")
         known = self.styles.where("id is not null").select("doc_id", F.col("id").alias("style_id"), F.lit(True).alias("known")).distinct()
         p = p.join(known, ["doc_id", "style_id"], "left").withColumn("look_id", F.when(F.col("known"), F.col("style_id")).otherwise(F.col("default_style")))
         style = self.resolved_styles.select("doc_id", F.col("id").alias("look_id"), F.struct(*FORMATS).alias("style"))
         of_run = dict(self.runs.dtypes)
-        r = p.join(longest, ["doc_id", "para_seq"], "left").join(style, ["doc_id", "look_id"], "left")
-        r = r.select("doc_id", "para_seq", "para_index", F.col("look_id").alias("style_id"), "text", "section_index", *[F.coalesce(F.col(f"run.{f}") if f in of_run else F.col(f), F.col(f"style.{f}")).alias(f) for f in FORMATS])
+        own = [f for f in FORMATS if f in of_run]
+        # a character style without the document's defaults, which the paragraph's style comes before
+        char = cascade.resolve(self.styles.where("type = 'character' and id is not null"), own, by=["doc_id"]).select("doc_id", F.col("id").alias("run_style"), F.struct(*own).alias("char"))
+        r = p.join(longest, ["doc_id", "para_seq"], "left").withColumn("run_style", F.col("run.run_style")).join(char, ["doc_id", "run_style"], "left").join(style, ["doc_id", "look_id"], "left")
+        r = r.select("doc_id", "para_seq", "para_index", F.col("look_id").alias("style_id"), "text", "section_index", *[F.coalesce(*([F.col(f"run.{f}"), F.col(f"char.{f}")] if f in of_run else [F.col(f)]), F.col(f"style.{f}")).alias(f) for f in FORMATS])
         return r.withColumn("raw_fp", fingerprint.raw(r))
 
     def fingerprints(self) -> DataFrame:

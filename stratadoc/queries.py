@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import counters, mathml
@@ -293,23 +293,36 @@ def caption_citations(spark, sf_dir):
     return f.where("kind = 'SEQ'").join(refs, ["doc_id", "anchor"], "left").select("doc_id", "anchor", F.coalesce("n", F.lit(0)).alias("citations"))
 
 
-EVENTS = """(values (1,1,1,'p'), (1,2,1,'end'), (1,3,1,'begin'), (1,4,2,'p'), (1,5,2,'begin'), (1,6,2,'end'), (1,7,3,'p'), (1,8,3,'end'), (1,9,4,'p'), (1,10,4,'ins'), (1,11,5,'p'), (1,12,5,'sdt'), (1,13,5,'begin'), (1,14,5,'end'), (2,1,1,'p'), (2,2,1,'end'), (2,3,1,'end'), (2,4,2,'p')) as t(doc_id, event_seq, para_seq, kind)"""
-_DEPTH = "(values (1,1,0),(1,2,0),(1,3,1),(1,4,1),(1,5,2),(1,6,1),(1,7,1),(1,8,0),(1,9,0),(1,10,0),(1,11,0),(1,12,0),(1,13,1),(1,14,0),(2,1,0),(2,2,0),(2,3,0),(2,4,0)) as t(doc_id, event_seq, depth)"
+_EVENTS = """e as (select conv_id as doc_id, turn as para_seq, row_number() over (partition by conv_id order by turn, k) as event_seq, case when k = 0 then 'p' else ['begin', 'end', 'ins', 'sdt', 'begin', 'end', 'none'][(length(coalesce(text, '')) + k) % 7 + 1] end as kind
+    from conversations, range(0, 3) as t(k)),
+  d as (select *, greatest(0, case kind when 'begin' then 1 else 0 end)::bigint as depth, 0::bigint as before from e where event_seq = 1
+    union all select e.*, greatest(0, d.depth + case e.kind when 'begin' then 1 when 'end' then -1 else 0 end), d.depth from d join e on e.doc_id = d.doc_id and e.event_seq = d.event_seq + 1),
+  b as (select doc_id, para_seq, event_seq, case when kind in ('ins', 'del') then 'tracked-change' when kind = 'sdt' then 'sdt' when kind = 'begin' or kind = 'p' and before > 0 then 'field' end as reason from d),
+  f as (select doc_id, para_seq, arg_min(reason, event_seq) as reason from b where reason is not null group by all)"""
 
 
-@query(f"select * from {_DEPTH}")
+def _events(spark, sf_dir):
+    """Each turn as a paragraph with two marks, which the length of its text names."""
+    c = corpus.conversations(spark, sf_dir)
+    kinds = F.array(*[F.lit(k) for k in ("begin", "end", "ins", "sdt", "begin", "end", "none")])
+    each = c.select("doc_id", "para_seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    kind = F.when(F.col("k") == 0, "p").otherwise(F.element_at(kinds, ((F.col("n") + F.col("k")) % 7 + 1).cast("int")))
+    return each.select("doc_id", "para_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("para_seq", "k")).alias("event_seq"), kind.alias("kind"))
+
+
+@query(f"with recursive {_EVENTS} select doc_id, event_seq, depth from d")
 def field_depth(spark, sf_dir):
-    return ordered.field_depth(rows(spark, EVENTS)).select("doc_id", "event_seq", "depth")
+    return ordered.field_depth(_events(spark, sf_dir)).select("doc_id", "event_seq", "depth")
 
 
-@query("select * from (values (1,1,'field'),(1,2,'field'),(1,3,'field'),(1,4,'tracked-change'),(1,5,'sdt')) as t(doc_id, para_seq, reason)")
+@query(f"with recursive {_EVENTS} select doc_id, para_seq, reason from f")
 def blocker_reasons(spark, sf_dir):
-    return ordered.blockers(rows(spark, EVENTS))
+    return ordered.blockers(_events(spark, sf_dir))
 
 
-@query("select * from (values ('field',3),('tracked-change',1),('sdt',1)) as t(reason, n)")
+@query(f"with recursive {_EVENTS} select reason, count(*) as n from f group by reason")
 def blocker_tally(spark, sf_dir):
-    return ordered.blockers(rows(spark, EVENTS)).groupBy("reason").agg(F.count("*").alias("n"))
+    return ordered.blockers(_events(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 _LINES = "lines as (select doc_id, lang as style_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as para_seq from documents)"
@@ -356,12 +369,16 @@ def empty_run_compression(spark, sf_dir):
     return ordered.empty_runs(rows(spark, ITEMS))
 
 
-CELLS = """(values (1,1,1,1,1,false), (1,2,1,1,2,false),(1,2,2,2,2,false),(1,3,1,1,1,true),(1,3,1,1,1,false),(1,4,1,1,7,false),(1,4,1,1,1,false),(1,5,1,1,1,false),(1,5,1,1,1,false),(1,5,2,1,1,false),(1,5,2,1,1,false),(1,6,1,2,1,false),(1,6,1,1,1,false)) as t(doc_id, table_idx, r, span, paras, outline)"""
+_CELLS = "select l_orderkey as doc_id, l_partkey % 2 as table_idx, l_linenumber % 3 as r, 1 + l_suppkey % 2 as span, cast(l_quantity / 8 as bigint) as paras, l_tax > 0.07 as outline from lineitem"
 
 
-@query("select * from (values (1,1,1,1,'layout','1x1'),(1,2,2,2,'layout','singleTcStack'),(1,3,1,2,'layout','outlineLvl'),(1,4,1,2,'layout','bulkCell'),(1,5,2,2,'data','multiColData'),(1,6,1,3,'data','fallback')) as t(doc_id, table_idx, rows, cols, classification, reason)")
+@query(f"""with r as (select doc_id, table_idx, r, count(*) as tcs, sum(span) as cols, sum(paras) as paras, max(paras) as most, bool_or(outline) as outline from ({_CELLS.replace('cast(l_quantity / 8 as bigint)', 'floor(l_quantity / 8)::bigint')}) group by all),
+  t as (select doc_id, table_idx, count(*) as rows, max(cols)::bigint as cols, sum(paras) as paras, max(most) as most, max(tcs) as tcs, bool_or(outline) as outline from r group by all),
+  k as (select *, case when rows = 1 and cols = 1 then '1x1' when tcs = 1 and paras > 3 then 'singleTcStack' when outline then 'outlineLvl' when most > {tables.BULK_CELL} then 'bulkCell' when rows > 1 and cols > 1 then 'multiColData' else 'fallback' end as reason from t)
+  select doc_id, table_idx, rows, cols, case when reason in ('multiColData', 'fallback') then 'data' else 'layout' end as classification, reason from k""")
 def table_classification(spark, sf_dir):
-    return tables.classify(rows(spark, CELLS))
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return tables.classify(spark.sql(_CELLS))
 
 
 @query("select conv_id as doc_id, turn as para_seq, 1 + coalesce(count(*) filter (where role = 'assistant') over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as section_index from conversations")
@@ -442,13 +459,16 @@ def mixed_numbering(spark, sf_dir):
     return rules.mixed_prefixes(corpus.document_lines(spark, sf_dir), KINDS)
 
 
-DIRECT_RUNS = "(values (1,1,'A',0,'sz','20'),(1,1,'A',1,'sz','20'),(1,1,'A',0,'b','1'),(1,1,'A',1,'color','F00'),(1,2,'A',0,'sz','20'),(1,2,'A',0,'b','1'),(1,3,'B',0,'sz','9')) as t(doc_id, para_seq, style_id, run_idx, prop, value)"
-PROVIDED = "(values ('A','sz'),('A','color')) as t(style_id, prop)"
+_DIRECT = "select distinct l_orderkey as doc_id, l_orderkey % 3 as para_seq, case l_orderkey % 2 when 0 then 'A' else 'B' end as style_id, l_linenumber % 2 as run_idx, case l_partkey % 3 when 0 then 'sz' when 1 then 'b' else 'color' end as prop, cast(l_suppkey % 2 as varchar(9)) as value from lineitem"
+PROVIDED = "(values ('A','sz'),('A','color'),('B','b')) as t(style_id, prop)"
 
 
-@query("select * from (values (1,1,'sz'),(1,2,'sz')) as t(doc_id, para_seq, prop)")
+@query(f"""with d as ({_DIRECT}), n as (select doc_id, para_seq, count(distinct run_idx) as runs from d group by all),
+  g as (select doc_id, para_seq, style_id, prop, count(distinct value) as v, count(distinct run_idx) as k from d group by all)
+  select doc_id, para_seq, prop from g join n using (doc_id, para_seq) join {PROVIDED} using (style_id, prop) where v = 1 and k = runs""")
 def selective_strip(spark, sf_dir):
-    return rules.strippable(rows(spark, DIRECT_RUNS), rows(spark, PROVIDED))
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    return rules.strippable(spark.sql(_DIRECT), rows(spark, PROVIDED))
 
 
 _OPS = "(values (0,'insert-before',1,1,'first'),(1,'insert-after',1,1,'after a'),(2,'insert-after',1,1,'after b'),(3,'delete',2,3,cast(null as varchar(9))),(4,'replace',4,4,'instead'),(5,'insert-before',2,2,'gone anchor'),(6,'replace',3,4,'late')) as o(ord, op, lo, hi, text)"
@@ -547,39 +567,57 @@ def numbering_gap(spark, sf_dir):
     return rows(spark, PATTERNS).select("lvl_text", counters.gap(F.col("lvl_text")).alias("suff"), F.rtrim("lvl_text").alias("effective"))
 
 
-HEADINGS = "(values (1,1,1),(1,5,2),(1,9,4),(1,12,1),(2,3,2),(2,4,3)) as t(doc_id, para_seq, level)"
-
-
-@query("select * from (values (1,9,4,2),(2,3,2,0)) as t(doc_id, para_seq, level, before)")
+@query("""with h as (select conv_id as doc_id, turn as para_seq, (length(text) % 4 + 1)::bigint as level from conversations where text is not null),
+  l as (select *, coalesce(lag(level) over (partition by doc_id order by para_seq), 0) as before from h) select doc_id, para_seq, level, before from l where level > before + 1""")
 def audit_skipped_levels(spark, sf_dir):
-    return ordered.skipped_levels(rows(spark, HEADINGS))
+    c = corpus.conversations(spark, sf_dir).where("text is not null")
+    return ordered.skipped_levels(c.select("doc_id", "para_seq", (F.length("text") % 4 + 1).cast("long").alias("level")))
 
 
-@query("""with b as (select page_id, unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 1)) as tag, unnest(regexp_extract_all(html, '<(h1|p|li)>([^<]*)', 2)) as text from pages)
-  select tag as look, count(distinct s) as styles, count(*) as n from (select tag, case tag when 'h1' then 'Heading1' when 'li' then 'List' else 'Body' end || case when length(text) > 200 then '+' else '' end as s from b) group by tag""")
+@query(rf"""with b as (select page_id, unnest(string_split(regexp_replace(html, '{corpus.BLOCK_EDGE}', chr(1) || '<\1', 'g'), chr(1))) as b from pages),
+  t as (select regexp_extract(b, '{corpus.BLOCK}', 1) as tag, regexp_replace(b, '<[^>]*>', '', 'g') as text from b where regexp_matches(b, '{corpus.BLOCK}'))
+  select tag as look, count(distinct s) as styles, count(*) as n, sum(length(text))::bigint as chars from (select tag, text, case tag when 'h1' then 'Heading1' when 'li' then 'List' else 'Body' end || case when length(text) > 200 then '+' else '' end as s from t) group by tag""")
 def audit_role_style_mismatch(spark, sf_dir):
     p = corpus.page_blocks(spark, sf_dir)
     look = F.when(F.col("style_id") == "Heading1", "h1").when(F.col("style_id") == "List", "li").otherwise("p")
-    return p.groupBy(look.alias("look")).agg(F.count_distinct("style_id", F.length("text") > 200).alias("styles"), F.count("*").alias("n"))
+    return p.groupBy(look.alias("look")).agg(F.count_distinct("style_id", F.length("text") > 200).alias("styles"), F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 CJK = """(values (1,1,'List','图 3 说明'),(1,2,'List','Figure 2.1 shows'),(1,3,'Body','(12) x'),(1,4,'List','1.2 题'),(1,5,'Body','第三章 结论'),(1,6,'Body','中文 abc 中文'),(1,7,'List','一、首先'),(1,8,'Body','plain'),(1,9,'List','CHAPTER 4'),(1,10,'Body','用 Spark 3 做')) as t(doc_id, para_seq, style_id, text)"""
 
 
-@query("select * from (values (1,1,'Figure','图 3'),(1,2,'Figure','Figure 2.1'),(1,3,'Equation','(12)')) as t(doc_id, para_seq, identifier, prefix)")
+_CJK_LINES = f"(select 0 as part, doc_id, para_seq, style_id, text from {CJK} union all select 1, doc_id, n, lang, line from (select doc_id, lang, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from documents))"
+
+
+def _cjk_lines(spark, sf_dir):
+    """The literal rows and all lines of the documents; a document's key says which."""
+    lines = corpus.document_lines(spark, sf_dir)
+    both = rows(spark, CJK).withColumn("part", F.lit(0)).unionByName(lines.withColumn("part", F.lit(1)))
+    return both.withColumn("doc_id", F.concat("part", F.lit("/"), F.col("doc_id").cast("string")))
+
+
+def _first(cases: list[tuple[str, str]]) -> str:
+    return "case " + " ".join(f"when regexp_matches(text, '{p}') then {x}" for p, x in cases) + " end"
+
+
+_SHAPE = _first([(p, f"'{i}'") for p, i in search.CAPTION_SHAPES])
+_SHAPE_TEXT = _first([(p, f"regexp_extract(text, '{p}')") for p, _ in search.CAPTION_SHAPES])
+
+
+@query(f"select part || '/' || doc_id as doc_id, para_seq, {_SHAPE} as identifier, {_SHAPE_TEXT} as prefix from {_CJK_LINES} where {_SHAPE} is not null")
 def migrate_caption_candidates(spark, sf_dir):
-    return search.caption_candidates(rows(spark, CJK))
+    return search.caption_candidates(_cjk_lines(spark, sf_dir))
 
 
-@query("select * from (values ('List','bound',3),('Body','unbound',2)) as t(style_id, kind, n)")
+@query(f"select style_id, case when style_id = 'List' then 'bound' else 'unbound' end as kind, count(*) as n from {_CJK_LINES} where {' or '.join(f"regexp_matches(text, '{p}')" for p in search.TYPED_PREFIXES)} group by style_id")
 def typed_prefix_lint(spark, sf_dir):
-    return search.typed_prefixes(rows(spark, CJK), rows(spark, "(values ('List')) as t(style_id)"))
+    return search.typed_prefixes(_cjk_lines(spark, sf_dir), rows(spark, "(values ('List')) as t(style_id)"))
 
 
-@query(f"""select doc_id, para_seq, nth::bigint as nth, hit from (select doc_id, para_seq, unnest(h[1:5]) as hit, generate_subscripts(h[1:5], 1) as nth from
-  (select *, list_concat(regexp_extract_all(text, '[一-鿿] +[A-Za-z0-9]'), regexp_extract_all(text, '[A-Za-z0-9] +[一-鿿]')) as h from {CJK}))""")
+@query(f"""select part || '/' || doc_id as doc_id, para_seq, nth::bigint as nth, hit from (select part, doc_id, para_seq, unnest(h[1:5]) as hit, generate_subscripts(h[1:5], 1) as nth from
+  (select *, list_concat(regexp_extract_all(text, '[㐀-䶿一-鿿] +[A-Za-z0-9]'), regexp_extract_all(text, '[A-Za-z0-9] +[㐀-䶿一-鿿]')) as h from {_CJK_LINES}))""")
 def pangu_lint(spark, sf_dir):
-    return search.cjk_spacing(rows(spark, CJK))
+    return search.cjk_spacing(_cjk_lines(spark, sf_dir))
 
 
 LENGTHS = "(values ('12'), ('12pt'), ('2.54cm'), ('25.4 mm'), ('1in'), ('x'), ('-3pt')) as t(length)"

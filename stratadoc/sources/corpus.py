@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tags at which a block of a web page begins or ends, and those that make a paragraph.
+BLOCK_EDGE = r"<(/?(?:h[1-6]|p|li|ul|ol|div|table|tr|td|th|pre|section|article|header|footer|nav|main|body|html|head|title|script|style|blockquote)\b)"
+BLOCK = r"^<(h1|p|li)\b"
+
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation is a document, a turn a paragraph, its role the style."""
@@ -20,10 +24,10 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that opens each h1, p and li of a web page; headings are Heading1, items List, the rest Body."""
+    """Each h1, p and li of a web page, whole, up to where a block ends or the next begins, without the tags inside; headings are Heading1, items List, the rest Body."""
     t = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    tag = r"<(h1|p|li)>([^<]*)"
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(tag), F.lit(1)).alias("tag"), F.regexp_extract_all("html", F.lit(tag), F.lit(2)).alias("text"))
-    blocks = t.select(F.col("page_id").alias("doc_id"), F.posexplode(both).alias("n", "b"))
-    style = F.when(F.col("b.tag") == "h1", "Heading1").when(F.col("b.tag") == "li", "List").otherwise("Body")
-    return blocks.select("doc_id", (F.col("n") + 1).cast("long").alias("para_seq"), style.alias("style_id"), F.col("b.text").alias("text"))
+    pieces = F.filter(F.split(F.regexp_replace("html", BLOCK_EDGE, "\u0001<$1"), "\u0001"), lambda x: x.rlike(BLOCK))
+    blocks = t.select(F.col("page_id").alias("doc_id"), F.posexplode(pieces).alias("n", "b"))
+    tag = F.regexp_extract("b", BLOCK, 1)
+    style = F.when(tag == "h1", "Heading1").when(tag == "li", "List").otherwise("Body")
+    return blocks.select("doc_id", (F.col("n") + 1).cast("long").alias("para_seq"), style.alias("style_id"), F.regexp_replace("b", "<[^>]*>", "").alias("text"))
