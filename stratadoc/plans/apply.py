@@ -102,6 +102,7 @@ class Writer:
         self.doc.marks = self.doc.revisions = max([0, *used])
         self.doc.drawings = sum(1 for _ in self.root.iter(f"{{{B.WP}}}docPr"))
         self.gone: set[ET.Element] = set()
+        self.more_media: list[str] = []  # of headers and footers
 
     def made(self, fragment: list[dict]) -> list[ET.Element]:
         if not self.config.get("trackChanges"):
@@ -309,8 +310,68 @@ class Writer:
                 I.merge_one(s, B.element("pgNumType", fmt=both["pgNumType"].get("fmt"), start=both["pgNumType"].get("start")))
             I.in_order(s, I.SECTION)
 
+    def header_footer(self) -> None:
+        """Header and footer parts for each section; sections with the same ones share the parts."""
+        config = self.config.get("headerFooter")
+        if not config:
+            return
+        made: dict[str, list[tuple[str, str, str]]] = {}
+        sections = [e for p in self.body for e in ([p] if p.tag == w("sectPr") else p.iterfind(f"{w('pPr')}/{w('sectPr')}") if p.tag == w("p") else [])]
+        if not sections:
+            self.body.append(B.element("sectPr"))
+            sections = [self.body[-1]]
+        for i, s in enumerate(sections, 1):
+            own = I.layered(config, i)
+            key = json.dumps(own, sort_keys=True)
+            if key not in made:
+                made[key] = [(surface, kind, self.margin_part(surface, blocks, variants.get("underline" if surface == "header" else "overline"))) for surface, variants in own.items() for kind, blocks in variants.items() if kind in ("default", "first", "even")]
+            for surface in own:
+                for e in s.findall(w(f"{surface}Reference")):
+                    s.remove(e)
+            for surface, kind, rid in made[key]:
+                e = B.element(f"{surface}Reference", type=kind)
+                e.set(f"{{{B.R}}}id", rid)
+                s.append(e)
+            if any(kind == "first" for _, kind, _ in made[key]):
+                I.merge_one(s, B.element("titlePg"))
+            I.in_order(s, I.SECTION)
+        if any(kind == "even" for x in made.values() for _, kind, _ in x):
+            I.settings(self.parts, "evenAndOddHeaders")
+
+    def margin_part(self, surface: str, blocks: list[dict], line: object) -> str:
+        """One header or footer part with its own relationships; returns its id in the document's."""
+        n = 1
+        while f"word/{surface}{n}.xml" in self.parts:
+            n += 1
+        own = B.Document()
+        own.first_media = self.doc.first_media + len(self.doc.media) + len(self.more_media)
+        style = surface.capitalize()
+        I.ensure_style(self.parts, "paragraph", style)
+        elements = [e for b in blocks for e in own.block({"styleId": style, **b} if b["type"] == "paragraph" else b)] or [B.element("p")]
+        if line:
+            ps = [e for e in elements if e.tag == w("p")]
+            if ps:
+                I.merge(ps[-1] if surface == "header" else ps[0], "pPr", I.PPR, [B.element("pPr", B.element("pBdr", I.edge("bottom" if surface == "header" else "top", line)))])
+        path = f"word/{surface}{n}.xml"
+        self.parts[path] = I.written(B.element("hdr" if surface == "header" else "ftr", *elements))
+        if own.rels:
+            rels = ET.Element(f"{{{package.REL}}}Relationships")
+            rels.extend(ET.Element(f"{{{package.REL}}}Relationship", e.attrib) for e in B._rels(own.rels))
+            self.parts[f"word/_rels/{surface}{n}.xml.rels"] = I.written(rels)
+        for data, (media, _) in own.media.items():
+            self.parts[f"word/{media}"] = data
+            self.more_media.append(media)
+        types = ET.fromstring(self.parts["[Content_Types].xml"])
+        types.append(ET.Element(f"{{{package.TYPES}}}Override", {"PartName": f"/{path}", "ContentType": f"{I.MIME}.{surface}+xml"}))
+        self.parts["[Content_Types].xml"] = I.written(types)
+        return self.doc._rel(surface, f"{surface}{n}.xml", False)
+
     def bytes(self) -> bytes:
-        """The package with what was changed; all other parts as they were."""
+        """The package with what was changed; all other parts as they were. A style that links name is there, fields are marked to be brought up to date."""
+        if any(e.get(w("val")) == "Hyperlink" for e in self.root.iter(w("rStyle"))):
+            I.ensure_style(self.parts, "character", "Hyperlink", *B.run_format({"color": "0563C1", "underline": True}))
+        if self.config.get("captions") and self.root.find(f".//{w('fldChar')}") is not None:
+            I.settings(self.parts, "updateFields")
         self.parts[package.DOCUMENT] = ET.tostring(self.root, encoding="UTF-8", xml_declaration=True)
         if self.doc.rels:
             path = "word/_rels/document.xml.rels"
@@ -318,10 +379,11 @@ class Writer:
             for e in B._rels(self.doc.rels):
                 old.append(ET.Element(f"{{{package.REL}}}Relationship", e.attrib))
             self.parts[path] = ET.tostring(old, encoding="UTF-8", xml_declaration=True)
-        if self.doc.media:
+        media = [p for p, _ in self.doc.media.values()] + self.more_media
+        if media:
             types = ET.fromstring(self.parts["[Content_Types].xml"])
             have = {(e.get("Extension") or "").lower() for e in types}
-            for ext in sorted({p.rpartition(".")[2] for p, _ in self.doc.media.values()} - have):
+            for ext in sorted({p.rpartition(".")[2] for p in media} - have):
                 types.insert(0, ET.Element(f"{{{package.TYPES}}}Default", {"Extension": ext, "ContentType": B.MEDIA[ext]}))
             self.parts["[Content_Types].xml"] = ET.tostring(types, encoding="UTF-8", xml_declaration=True)
             self.parts |= {f"word/{p}": data for data, (p, _) in self.doc.media.items()}
@@ -464,6 +526,7 @@ def apply_rules(files: DataFrame, config: dict) -> DataFrame:
             if r.new_style in numbers:
                 writer.strip_number(p, numbers[r.new_style])
         writer.page_setup()
+        writer.header_footer()
 
     return _rewritten(files, plan, change, config)
 
@@ -473,12 +536,12 @@ def problems(config: dict) -> list[str]:
     out = C.problems(config)
     if out:
         return out
-    out = [f"{k}: not implemented" for k in ("template", "headerFooter") if config.get(k)]
+    out = [f"{k}: not implemented" for k in ("template",) if config.get(k)]
     out += [f"styles[{i}].fromParagraph: not implemented" for i, s in enumerate(config.get("styles", [])) if "fromParagraph" in s]
     out += [f"trackChanges: a {e['op']} edit can't be tracked" for e in config.get("edits", []) if config.get("trackChanges") and e["op"] in ("format", "set-run", "edit-caption")]
     declared = {s["id"] for s in config.get("styles", [])}
     out += [f'requirements: style "{k}" is not declared' for k in config.get("requirements", {}) if k not in declared]
-    acts = ("styles", "numbering", "theme", "edits", "assignments", "bulk_rules", "pattern_rules", "pageSetup")
+    acts = ("styles", "numbering", "theme", "edits", "assignments", "bulk_rules", "pattern_rules", "pageSetup", "headerFooter")
     return out + ([] if any(config.get(k) for k in acts) else ["config: nothing to do"])
 
 

@@ -34,6 +34,22 @@ STYLE = ["name", "aliases", "basedOn", "next", "link", "autoRedefine", "hidden",
 SECTION = ["headerReference", "footerReference", "footnotePr", "endnotePr", "type", "pgSz", "pgMar", "paperSrc", "pgBorders", "lnNumType", "pgNumType", "cols", "formProt", "vAlign", "noEndnote", "titlePg", "textDirection", "bidi", "rtlGutter", "docGrid", "printerSettings", "sectPrChange"]
 
 
+# Settings in the order of the format, up to those that are set here.
+SETTINGS = [
+    "writeProtection", "view", "zoom", "removePersonalInformation", "removeDateAndTime", "doNotDisplayPageBoundaries", "displayBackgroundShape", "printPostScriptOverText",
+    "printFractionalCharacterWidth", "printFormsData", "embedTrueTypeFonts", "embedSystemFonts", "saveSubsetFonts", "saveFormsData", "mirrorMargins", "alignBordersAndEdges",
+    "bordersDoNotSurroundHeader", "bordersDoNotSurroundFooter", "gutterAtTop", "hideSpellingErrors", "hideGrammaticalErrors", "activeWritingStyle", "proofState", "formsDesign",
+    "attachedTemplate", "linkStyles", "stylePaneFormatFilter", "stylePaneSortMethod", "documentType", "mailMerge", "revisionView", "trackRevisions", "doNotTrackMoves",
+    "doNotTrackFormatting", "documentProtection", "autoFormatOverride", "styleLockTheme", "styleLockQFSet", "defaultTabStop", "autoHyphenation", "consecutiveHyphenLimit",
+    "hyphenationZone", "doNotHyphenateCaps", "showEnvelope", "summaryLength", "clickAndTypeStyle", "defaultTableStyle", "evenAndOddHeaders", "bookFoldRevPrinting",
+    "bookFoldPrinting", "bookFoldPrintingSheets", "drawingGridHorizontalSpacing", "drawingGridVerticalSpacing", "displayHorizontalDrawingGridEvery",
+    "displayVerticalDrawingGridEvery", "doNotUseMarginsForDrawingGridOrigin", "drawingGridHorizontalOrigin", "drawingGridVerticalOrigin", "doNotShadeFormData",
+    "noPunctuationKerning", "characterSpacingControl", "printTwoOnOne", "strictFirstAndLastChars", "noLineBreaksAfter", "noLineBreaksBefore", "savePreviewPicture",
+    "doNotValidateAgainstSchema", "saveInvalidXml", "ignoreMixedContent", "alwaysShowPlaceholderText", "doNotDemarcateInvalidXml", "saveXmlDataOnly", "useXSLTWhenSaving",
+    "saveThroughXslt", "showXMLTags", "alwaysMergeEmptyNamespace", "updateFields",
+]
+
+
 class InstallError(ValueError):
     """Something that can't be installed in a package."""
 
@@ -88,8 +104,8 @@ def part(parts: dict[str, bytes], path: str, root: str, kind: str) -> ET.Element
     if path in parts:
         return open_part(parts[path])
     rels = ET.fromstring(parts[RELS]) if RELS in parts else ET.Element(f"{{{package.REL}}}Relationships")
-    used = [int(m[1]) for e in rels if (m := re.fullmatch(r"rId(\d+)", e.get("Id") or ""))]
-    rels.append(ET.Element(f"{{{package.REL}}}Relationship", {"Id": f"rId{max([0, *used]) + 1}", "Type": f"{OFFICE}/{kind}", "Target": path.removeprefix("word/")}))
+    used = [int(m[1]) for e in rels if (m := re.fullmatch(r"rIdPart(\d+)", e.get("Id") or ""))]  # apart from the ids that a writer gives out
+    rels.append(ET.Element(f"{{{package.REL}}}Relationship", {"Id": f"rIdPart{max([0, *used]) + 1}", "Type": f"{OFFICE}/{kind}", "Target": path.removeprefix("word/")}))
     parts[RELS] = written(rels)
     types = ET.fromstring(parts["[Content_Types].xml"])
     if not any(e.get("PartName") == f"/{path}" for e in types):
@@ -200,6 +216,43 @@ def theme(parts: dict[str, bytes], fonts: dict[str, str]) -> None:
     parts[path] = written(root)
 
 
+def settings(parts: dict[str, bytes], *flags: str) -> None:
+    """Flags of the settings part switched on, each at its place."""
+    root = part(parts, "word/settings.xml", "settings", "settings")
+    for f in flags:
+        merge_one(root, B.element(f))
+        before = {w(n) for n in SETTINGS[: SETTINGS.index(f)]}
+        own = root[-1]
+        root.remove(own)
+        root.insert(max([i + 1 for i, e in enumerate(root) if e.tag in before], default=0), own)
+    parts["word/settings.xml"] = written(root)
+
+
+def ensure_style(parts: dict[str, bytes], kind: str, name: str, *children: ET.Element) -> None:
+    """A style that something refers to, where the package has none of its id."""
+    root = part(parts, "word/styles.xml", "styles", "styles")
+    if all(s.get(w("styleId")) != name for s in root.iterfind(w("style"))):
+        root.append(style := B.element("style", B.element("name", val=name.lower() if kind == "paragraph" else name), *children, type=kind, styleId=name))
+        in_order(style, STYLE)
+        parts["word/styles.xml"] = written(root)
+
+
+def edge(side: str, how: object) -> ET.Element:
+    """A paragraph border on one side: true is a thin line."""
+    e = {"style": how} if isinstance(how, str) else how if isinstance(how, dict) else {}
+    kind = {"thick": "thick", "double": "double", "dotted": "dotted", "dashed": "dashed", "none": "none"}.get(e.get("style"), "single")
+    return B.element(side, val=kind, sz=round(B.twips(e["size"]) / 2.5) if e.get("size") is not None else 6, space=1, color=e.get("color", "auto"))
+
+
+def layered(config: dict, section: int) -> dict:
+    """A section's header and footer: those for all, then those of ranges that hold it, then its own."""
+    out = {k: config[k] for k in ("header", "footer") if k in config}
+    spans = [([int(x) for x in k.split("-")], v) for k, v in (config.get("sections") or {}).items()]
+    for v in [v for k, v in spans if len(k) == 2 and k[0] <= section <= k[1]] + [v for k, v in spans if k == [section]]:
+        out |= v
+    return out
+
+
 def install(parts: dict[str, bytes], config: dict) -> None:
     if config.get("styles"):
         styles(parts, config["styles"])

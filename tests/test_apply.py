@@ -52,7 +52,7 @@ def test_edits_and_rules(files):
     assert got == [("H1", "Uno"), (None, "two"), (None, "B"), (None, "A"), ("Cut", "ee1. four"), ("Body", "five"), ("Caption", "Figure 0-1 new"), (None, ""), (None, "y"), (None, "z"), (None, "w"), (None, "")]
     s = p.sections().first()
     assert (s.width, s.height, s.orientation, s.margin_left, s.margin_right, s.paper) == (15840, 12240, "landscape", 567, 1440, "Custom")
-    assert p.validate().count() == 0
+    assert [tuple(r) for r in p.validate().collect()] == []
     # The other document's third paragraph is its caption, which a merge may not touch.
     assert [(r.doc_id, "blocked (field)" in r.error) for r in out.where("error is not null").collect()] == [("b", True)]
 
@@ -111,7 +111,7 @@ def test_what_a_configuration_installs(spark, files):
     assert (style["Lost"].italic, style["Lost"].based_on, style["Lost"].num_level) == (True, None, 1)
     level = {r.level: r for r in p.numbering.where("num_id = '3'").collect()}
     assert [(level[i].num_fmt, level[i].lvl_text, level[i].start, level[i].suff, level[i].p_style) for i in (0, 1)] == [("decimal", "%1.", 4, "space", "Sub"), ("lowerLetter", "%1.%2", 1, "nothing", "Lost")]
-    assert p.validate().count() == 0
+    assert [tuple(r) for r in p.validate().collect()] == []
     parts = {r.path: bytes(r.content).decode() for r in docx.parts(out.where("doc_id = 'a'")).collect()}
     assert 'typeface="Inter"' in parts["word/theme/theme1.xml"] and 'typeface="Songti"' in parts["word/theme/theme1.xml"]
     assert 'w:num="2"' in parts["word/document.xml"] and 'w:fmt="upperRoman"' in parts["word/document.xml"]
@@ -129,7 +129,6 @@ def test_a_dry_run_changes_no_byte(files):
     "more, says",
     [
         ({"template": {"source": "t", "styles": ["a"]}, "source": "s"}, "template"),
-        ({"headerFooter": {"header": {"default": para("x")}}}, "headerFooter"),
         ({"styles": [{"id": "a", "fromParagraph": 1}]}, "fromParagraph"),
         ({"styles": [{"id": "a"}], "requirements": {"b": "x"}}, 'style "b"'),
         ({}, "nothing to do"),
@@ -139,3 +138,18 @@ def test_a_dry_run_changes_no_byte(files):
 def test_what_is_not_done_is_said(files, more, says):
     with pytest.raises(C.ConfigError, match=says):
         P.apply(files, {"output": "x", **more})
+
+
+def test_headers_and_footers(files):
+    blocks = [{"type": "paragraph", "content": ["Page ", {"field": "page"}][1:]}]
+    config = {"output": "x", "captions": CAPTIONS, "headerFooter": {"header": {"default": para("top"), "first": para("front"), "underline": True}, "footer": {"default": blocks, "even": para("even"), "overline": {"style": "double", "size": 1}}, "sections": {"1": {"header": {"default": [{"type": "paragraph", "content": [{"link": "https://x.org", "text": "one"}]}]}}}}}
+    out = P.apply(files, config).persist()
+    p = Packages(docx.parts(out.where("doc_id = 'a' and error is null")))
+    parts = {r.path: bytes(r.content).decode() for r in p.parts.collect()}
+    body = parts["word/document.xml"]
+    assert sorted(k for k in parts if "header" in k or "footer" in k) == ["word/_rels/header1.xml.rels", "word/footer1.xml", "word/footer2.xml", "word/header1.xml"]
+    assert body.count("headerReference") == 1 and body.count("footerReference") == 2 and "titlePg" not in body
+    assert "https://x.org" in parts["word/_rels/header1.xml.rels"] and "PAGE" in parts["word/footer1.xml"] + parts["word/footer2.xml"]
+    assert 'w:val="double"' in parts["word/footer1.xml"] and "evenAndOddHeaders" in parts["word/settings.xml"] and "updateFields" in parts["word/settings.xml"]
+    assert {r.id for r in p.styles.where("id in ('Header', 'Footer')").collect()} == {"Header", "Footer"}
+    assert [tuple(r) for r in p.validate().collect()] == []
