@@ -27,10 +27,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: spark.checkpoint.dir, or a temporary one set only where that is unset, as in tests."""
+    """The folder that the cluster shares: spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stratadoc-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratadoc-"))
     return sc.getCheckpointDir()
 
 

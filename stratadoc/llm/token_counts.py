@@ -38,6 +38,9 @@ class PrefixCounter:
     def __init__(self, path: str, most_pieces: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("ignore_merges"):
+            raise ValueError(f"{path}: not plain byte-level BPE, for which alone the pattern and the table are right")
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.token = {bytes([b]): b for b in range(256)}  # ids in the order of merging

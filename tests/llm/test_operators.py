@@ -595,3 +595,14 @@ def test_pipeline_stages_on_odd_tables(spark, odd_folder, stage):
         assert ids == sorted(texts)
     if name == "quality":
         assert set(ids) <= set(texts)
+
+
+def test_only_plain_byte_level_vocabularies_are_taken(tmp_path):
+    import json
+
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError, match="byte-level"):
+            token_counts.PrefixCounter(str(tmp_path / "v.json"))
