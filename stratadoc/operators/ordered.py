@@ -5,6 +5,8 @@ All of them are windows over one document, so they share its partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +59,20 @@ def caption_counters(rows: DataFrame) -> DataFrame:
     return r.drop("_epoch", "_base", "_step", "kind", "new_value")
 
 
-def restarts(rows: DataFrame, target: str, mode: str, boundary: str | None = None) -> DataFrame:
+def restarts(rows: DataFrame, target: str, mode: str, boundary: str | None = None, others: Sequence[str] = (), base_num: str | None = None) -> DataFrame:
     """(doc_id, para_seq, run_no): the runs, from 1, of the target style's paragraphs that each get a counter of their own.
 
     perInstance: any other paragraph ends a run. byHeading and atStyleChange: a
-    paragraph of the boundary style does.
+    paragraph of the boundary style does. others: list styles that restart in another
+    way; they end no run, be they headings or not. base_num (byHeading): the scheme's
+    id; a paragraph (num_id) with another of its own ends the run and is in none.
     """
     breaks = F.col("style_id") != target if mode == "perInstance" else F.col("style_id") == boundary
-    seen = F.sum(F.coalesce(breaks, F.lit(mode == "perInstance")).cast("int")).over(Window.partitionBy("doc_id").orderBy("para_seq").rowsBetween(START, 0))
-    r = rows.withColumn("_epoch", seen).where(F.col("style_id") == target)
+    breaks = F.coalesce(breaks, F.lit(mode == "perInstance")) & ~F.coalesce(F.col("style_id").isin(list(others)), F.lit(False))
+    apart = (F.col("style_id") == target) & (F.col("num_id") != base_num) if base_num is not None else F.lit(False)
+    apart = F.coalesce(apart, F.lit(False))
+    seen = F.sum((breaks | apart).cast("int")).over(Window.partitionBy("doc_id").orderBy("para_seq").rowsBetween(START, 0))
+    r = rows.withColumn("_epoch", seen).where((F.col("style_id") == target) & ~apart)
     return r.select("doc_id", "para_seq", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_epoch")).cast("long").alias("run_no"))
 
 

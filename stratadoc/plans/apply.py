@@ -399,10 +399,13 @@ def zipped(parts: dict[str, bytes]) -> bytes:
 
 
 def held(d: DataFrame) -> DataFrame:
-    """A copy in the folder that the cluster shares, so that what reads it many times does not redo it; a temporary folder only where none is set."""
+    """A copy in the folder that the cluster shares, so that what reads it many times does not redo it; a temporary folder where none is set and all runs on one machine."""
     sc = d.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stratadoc-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stratadoc-"))
     return d.checkpoint()
 
 

@@ -250,6 +250,20 @@ def restart_at_style_change(spark, sf_dir):
     return ordered.restarts(corpus.conversations(spark, sf_dir), "assistant", "atStyleChange", "user")
 
 
+@query("""with c as (select conv_id as doc_id, turn as para_seq, role, case when turn % 3 = 0 then '9' end as num_id from conversations),
+  e as (select *, count(*) filter (where role = 'system' or role = 'user' and num_id is not null) over (partition by doc_id order by para_seq) as e from c)
+  select doc_id, para_seq, dense_rank() over (partition by doc_id order by e) as run_no from e where role = 'user' and num_id is null""")
+def restart_with_overrides(spark, sf_dir):
+    c = corpus.conversations(spark, sf_dir).withColumn("num_id", F.expr("case when para_seq % 3 = 0 then '9' end"))
+    return ordered.restarts(c, "user", "byHeading", "system", others=["assistant"], base_num="1")
+
+
+@query("""with c as (select conv_id as doc_id, turn as para_seq, role from conversations), e as (select *, count(*) filter (where role is null or role not in ('assistant', 'system')) over (partition by doc_id order by para_seq) as e from c)
+  select doc_id, para_seq, dense_rank() over (partition by doc_id order by e) as run_no from e where role = 'assistant'""")
+def restart_beside_other_lists(spark, sf_dir):
+    return ordered.restarts(corpus.conversations(spark, sf_dir), "assistant", "perInstance", others=["system"])
+
+
 @query(f"select doc_id, run_no, 7 + run_no as num_id from (select distinct doc_id, run_no from ({_RUNS.format(chr(114) + 'ole = ' + repr('system'), 'user')}))")
 def restart_forks(spark, sf_dir):
     runs = ordered.restarts(corpus.conversations(spark, sf_dir), "user", "byHeading", "system")

@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratadoc import queries, report_queries  # noqa: F401
 from stratadoc.functions import mathml
-from stratadoc.operators import cascade, ordered
+from stratadoc.operators import cascade, fingerprint, ordered, search
 from tests.compare import oracle_rows, rows_of, tables
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +115,25 @@ def test_registry_imports():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(queries.QUERIES) <= set(entry.queries())
+
+
+def test_odd_needles(spark):
+    d = spark.createDataFrame([(1, 1, r"a\Eb a\Eb"), (1, 2, "x.y xzy (["), (1, 3, "t\tab"), (1, 4, "ab" * 3000)], "doc_id int, para_seq int, text string")
+    at = lambda needle: [(r.para_seq, r.ch) for r in search.find_literal(d, needle).orderBy("para_seq", "ch").collect()]
+    assert at(r"a\Eb") == [(1, 0), (1, 5)] and at("x.y") == [(2, 0)] and at("([") == [(2, 8)]
+    assert at("t\ta") == at("") == []
+    assert at("ab") == [(3, 2)] + [(4, 2 * i) for i in range(3000)]
+
+
+def test_labels_of_any_length(spark):
+    n = [0, 25, 26, 701, 702, 18277, 18278, 475253, 475254]
+    got = [r.s for r in spark.createDataFrame([(x,) for x in n], "n long").select(fingerprint.letters(F.col("n")).alias("s")).collect()]
+
+    def plain(x):
+        out, x = "", x + 1
+        while x:
+            x, d = divmod(x - 1, 26)
+            out = chr(65 + d) + out
+        return out
+
+    assert got == [plain(x) for x in n]
