@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import counters, mathml
+from .functions import counters, mathml, text
 from .operators import cascade, edits, fingerprint, ordered, rules, search, tables, validate
 from .sources import blocks, corpus, docx, package
 
@@ -82,8 +82,8 @@ def unused_styles(spark, sf_dir):
     return cascade.usage(styles(spark), corpus.conversations(spark, sf_dir), "Normal").where("usage_count = 0 and id <> 'Normal'").select("id", "name")
 
 
-ALIASES = "(values ('标题 1', 'heading 1'), ('heading 1', 'heading 1'), ('正文', 'Normal'), ('Normal', 'Normal')) as a(alias, canonical)"
-DECLARED = "(values ('H1x', '标题 1'), ('Normal', '正文'), ('Body', 'NORMAL'), ('New', 'New'), ('NoName', cast(null as varchar(9)))) as t(id, name)"
+ALIASES = "(values " + ", ".join(f"('{alias}', '{en}')" for en, zh in text.STYLE_NAMES for alias in (en, zh)) + ") as a(alias, canonical)"
+DECLARED = "(values ('H1x', '标题 1'), ('Normal', '正文'), ('Body', 'NORMAL'), ('Two', '标题 2'), ('New', 'New'), ('NoName', cast(null as varchar(9)))) as t(id, name)"
 
 
 @query(f"""with d as (select id, lower(coalesce(canonical, name)) as name from {DECLARED} left join {ALIASES} on alias = name where name is not null),

@@ -186,3 +186,20 @@ def test_views_of_packages(corpus):
     looks = {r.label: (r.n, r.dominant_style, r.raw_fp) for r in corpus.fingerprints().collect()}
     assert looks["A"][0] > looks["B"][0] and looks["B"][2] == "Calibri|22|B||||L" and looks["B"][1] == "H1"
     assert [(r.part, r.message) for r in corpus.validate().collect()] == [("word/document.xml", "no numbering 9")]
+
+
+def test_character_styles_come_between_the_run_and_the_paragraph(spark):
+    from stratadoc.plans.tools import Packages
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    style = lambda kind, name, on, look: f'<w:style w:type="{kind}" w:styleId="{name}"><w:name w:val="{name}"/>{on}<w:rPr>{look}</w:rPr></w:style>'
+    styles = f'<w:styles {ns}><w:docDefaults><w:rPrDefault><w:rPr><w:color w:val="111111"/></w:rPr></w:rPrDefault></w:docDefaults>' + style("paragraph", "P", "", '<w:sz w:val="20"/><w:b/><w:color w:val="222222"/>') + style("character", "Base", "", '<w:sz w:val="30"/>') + style("character", "Strong", '<w:basedOn w:val="Base"/>', '<w:i/>') + "</w:styles>"
+    p = lambda run: f'<w:p><w:pPr><w:pStyle w:val="P"/></w:pPr><w:r><w:rPr>{run}</w:rPr><w:t>text</w:t></w:r></w:p>'
+    body = f'<w:document {ns}><w:body>{p("")}{p("<w:rStyle w:val=\'Strong\'/>")}{p("<w:rStyle w:val=\'Strong\'/><w:sz w:val=\'40\'/>")}{p("<w:rStyle w:val=\'Lost\'/>")}</w:body></w:document>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/styles.xml", styles)
+    looks = Packages(docx.parts(spark.createDataFrame([("a", bytearray(out.getvalue()))], "doc_id string, content binary"))).looks()
+    got = [(r.size, r.bold, r.italic, r.color) for r in looks.orderBy("para_seq").collect()]
+    assert got == [(20, True, None, "222222"), (30, True, True, "222222"), (40, True, True, "222222"), (20, True, None, "222222")]
