@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import cascade
+from . import cascade, ordered
 
 
 def ranked(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "ord") -> DataFrame:
@@ -129,3 +129,22 @@ def report(sections: list[tuple[str, DataFrame]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def outside_fields(events: DataFrame) -> DataFrame:
+    """(doc_id, para_seq, text): each paragraph's text without what stands inside its fields, from events (doc_id, event_seq, para_seq, kind, text)."""
+    open_ = ordered.field_depth(events).where((F.col("depth") == 0) & F.col("text").isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("event_seq", "text")))
+    return open_.groupBy("doc_id", "para_seq").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+
+
+def style_entry(f: dict[str, Column]) -> list[Column]:
+    """A style's formats as the fields of a configuration entry: points, one Latin font, and marks only where they are on."""
+    return [
+        F.coalesce(f["font_ascii"], f["font_h_ansi"]).alias("fontLatin"),
+        f["font_east_asia"].alias("fontCJK"),
+        (f["size"] / 2).alias("size"),
+        *[F.when(f[k], F.lit(True)).alias(k) for k in ("bold", "italic")],
+        F.when(f["color"] != "auto", f["color"]).alias("color"),
+        f["alignment"].alias("alignment"),
+    ]

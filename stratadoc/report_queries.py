@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import report, rules, search
-from .queries import FIELDS, _CHAIN, _RESOLVED, STYLES, query, rows, styles
+from .queries import FIELDS, _CHAIN, _EVENTS, _RESOLVED, STYLES, _events, query, rows, styles
 from .sources import corpus
 
 _BLANKS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
@@ -265,3 +265,21 @@ def corpus_report(spark, sf_dir):
     total = c.agg(F.count("*").alias("paragraphs"), F.count_distinct("doc_id").alias("documents"))
     lines = total.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.concat(F.lit(f"{k}: "), F.col(k).cast("string")).alias("line")) for i, k in ((1, "documents"), (2, "paragraphs"))])).alias("x")).select("x.ord", "x.line")
     return report.report([("styles", used.select("ord", F.concat("id", F.lit(": "), F.col("usage_count").cast("string")).alias("line"))), ("totals", lines)])
+
+
+@query(f"""with recursive {_EVENTS}, t as (select d.*, left(c.text, 3) || event_seq as text from d join conversations c on c.conv_id = d.doc_id and c.turn = d.para_seq)
+  select doc_id, para_seq, string_agg(text, '' order by event_seq) as text from t where depth = 0 and text is not null group by all""")
+def text_outside_fields(spark, sf_dir):
+    c = corpus.conversations(spark, sf_dir).select("doc_id", "para_seq", F.substring("text", 1, 3).alias("t"))
+    e = _events(spark, sf_dir).join(c, ["doc_id", "para_seq"])
+    return report.outside_fields(e.withColumn("text", F.concat("t", F.col("event_seq").cast("string"))))
+
+
+@query(f"""with recursive {_CHAIN}, {_RESOLVED} select id, font as "fontLatin", null::varchar as "fontCJK", size / 2 as size, case when bold then true end as bold, null::boolean as italic, nullif(color, 'auto') as color, align as alignment from resolved""")
+def style_entries(spark, sf_dir):
+    from .operators import cascade
+
+    r = cascade.resolve(styles(spark), FIELDS)
+    no = lambda kind: F.lit(None).cast(kind)
+    f = {"font_ascii": F.col("font"), "font_h_ansi": no("string"), "font_east_asia": no("string"), "size": F.col("size"), "bold": F.col("bold"), "italic": no("boolean"), "color": F.col("color"), "alignment": F.col("align")}
+    return r.select("id", *report.style_entry(f))
