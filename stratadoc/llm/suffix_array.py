@@ -102,7 +102,7 @@ def _by_doubling(rank: np.ndarray) -> np.ndarray:
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Order of the suffixes of t: small integers, the last one less than all others."""
-    t = np.ascontiguousarray(t, np.int64) if t.dtype != np.int64 else t
+    t = np.ascontiguousarray(t)
     n, symbols = len(t), int(t.max()) + 1 if len(t) else 0
     if n < 2:
         return np.arange(n)

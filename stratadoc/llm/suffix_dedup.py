@@ -34,8 +34,12 @@ from .base import checkpoint, shuffle_partitions, texts
 from .suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
-_BUFFER = 4 << 20
-_FLUSH = 2_000_000
+#: Bytes of text whose anchors are found at a time; longer texts go in pieces. Each takes some 100 bytes of memory.
+_BUFFER = 1 << 19
+#: Anchors that a task settles at a time, some 100 bytes of memory each.
+_FLUSH = 1_000_000
+#: Rows in a batch that goes back to Spark.
+_BATCH = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A random word for each byte, and the odd base and its inverse for hashes of strings.
 _WORD = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,7 +56,7 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = next(iter(_POWER.values()), None)
     if have is None or len(have[0]) < n:
-        n = max(n, _BUFFER + (1 << 20))
+        n = max(n, 2 * _BUFFER)
         inverse = pow(_BASE, -1, 1 << 64)
         _POWER.clear()
         _POWER[n] = have = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, inverse))
@@ -134,35 +138,61 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 _FOUND = pa.schema([("v", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("after", pa.int32()), ("mark", pa.bool_())])
 
 
+def _pieces(raw: bytes, length: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """A text in pieces (bytes, where they start, which of their places count, from and to) that have `length` bytes more on either side.
+
+    What makes a place an anchor, and its surroundings, are less than that away.
+    """
+    step = max(_BUFFER, 4 * length)
+    for a in range(0, len(raw), step):
+        start = max(0, a - length)
+        yield (raw if len(raw) <= step else raw[start : a + step + length]), start, a - start, min(a + step, len(raw)) - start
+
+
 def _find(length: int):
     """A function over batches of texts: the first anchor of each kind among the task's rows, and marks (c: their end) for the others."""
 
-    def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        doc, at, v, c, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def settle(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Empties what is held."""
+        columns = []
+        for x in held:
+            columns.append(np.concatenate(x))
+            x.clear()
+        doc, at, v, c, before, after = columns
         order = np.lexsort((at, doc, c, v))
-        doc, at, v, c, before, after = (x[order] for x in (doc, at, v, c, before, after))
-        again = np.concatenate([[False], (v[1:] == v[:-1]) & (c[1:] == c[:-1])])
+        again = np.zeros(len(order), bool)
+        again[1:] = (v[order[1:]] == v[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
         # a document that occurs twice under one id does not come before itself
-        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(v))))
-        again &= (doc != doc[first]) | (at != at[first])
-        d, s, e = merge(doc[again], (at - before)[again], (at + after)[again])
-        yield _batch(_scramble(d.view(np.uint64) * _A + s.astype(np.uint64)), e, d, s, np.zeros(len(d)), np.zeros(len(d)), True)
-        k = ~again
-        for i in range(0, int(k.sum()), 100_000):
-            j = slice(i, i + 100_000)
-            yield _batch(v[k][j], c[k][j], doc[k][j], at[k][j], before[k][j], after[k][j], False)
+        first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+        again &= (doc[order] != doc[first]) | (at[order] != at[first])
+        k, rest = order[again], order[~again]
+        del order, first, again
+        d, s, e = merge(doc[k], at[k] - before[k], at[k] + after[k])
+        for i in range(0, len(d), _BATCH):
+            j = slice(i, i + _BATCH)
+            none = np.zeros(len(d[j]), np.int32)
+            yield _batch(_scramble(d[j].view(np.uint64) * _A + s[j].astype(np.uint64)), e[j], d[j], s[j], none, none, True)
+        for i in range(0, len(rest), _BATCH):
+            j = rest[i : i + _BATCH]
+            yield _batch(v[j], c[j], doc[j], at[j], before[j], after[j], False)
 
     def _batch(v, c, doc, at, before, after, mark: bool) -> pa.RecordBatch:
-        columns = [v.view(np.int64), c.view(np.int64), doc, at, before.astype(np.int32), after.astype(np.int32)]
+        columns = [v.view(np.int64), c.view(np.int64), doc, at, before, after]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(v), mark))], schema=_FOUND)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        raws, ids, size = [], [], 0
+        held, n = [[] for _ in _FOUND.names[1:]], 0
+        pieces, size = [], 0
 
         def take() -> int:
+            ids, raws, start, least, end = zip(*pieces, strict=True)
+            pieces.clear()
+            ids, start, least, end = (np.array(x, np.int64) for x in (ids, start, least, end))
             text, place, v, c, before, after = anchors(raws, length)
-            parts.append((np.array(ids, np.int64)[text], place, v, c, before, after))
+            own = (place >= least[text]) & (place < end[text])
+            text, place = text[own], place[own]
+            for x, y in zip(held, (ids[text], start[text] + place, v[own], c[own], before[own].astype(np.int32), after[own].astype(np.int32)), strict=True):
+                x.append(y)
             return len(text)
 
         for b in batches:
@@ -170,19 +200,19 @@ def _find(length: int):
                 raw = x.as_py().encode()
                 if len(raw) < length or i is None:
                     continue
-                raws.append(raw)
-                ids.append(i)
-                size += len(raw)
-                if size >= _BUFFER:
-                    held += take()
-                    raws, ids, size = [], [], 0
-                    if held >= _FLUSH:
-                        yield from settle(parts)
-                        parts, held = [], 0
-        if raws:
-            take()
-        if parts:
-            yield from settle(parts)
+                for p in _pieces(raw, length):
+                    pieces.append((i, *p))
+                    size += len(p[0])
+                    if size >= _BUFFER:
+                        n += take()
+                        size = 0
+                        if n >= _FLUSH:
+                            yield from settle(held)
+                            n = 0
+        if pieces:
+            n += take()
+        if n:
+            yield from settle(held)
 
     return find
 
@@ -195,8 +225,14 @@ def _halves(length: int):
     side = (length - GRAM) // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, int, bytes]] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(map(pa.array, zip(*rows, strict=True), _HALF.types))
+            rows.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=_HALF)
+
         for b in batches:
-            rows: list[tuple[int, int, int, bytes]] = []
             for i, x, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places").to_pylist(), strict=True):
                 raw = x.as_py().encode()
                 for p in places:
@@ -206,7 +242,10 @@ def _halves(length: int):
                     near = (p, p + GRAM + side)
                     if near[1] <= len(raw):
                         rows.append((_key(b"R" + raw[near[0] : near[1]]), i, max(0, p + GRAM + side - length), raw[max(0, p + GRAM + side - length) : p + length]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, _HALF.types, strict=True)], schema=_HALF)
+                    if len(rows) >= _BATCH:
+                        yield batch()
+        if rows:
+            yield batch()
 
     return cut
 
@@ -218,10 +257,10 @@ def _key(x: bytes) -> int:
 def shard_marks(doc: np.ndarray, at: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marked intervals (doc, start, end): the strings of `length` in the pieces that also start earlier, by (doc, place)."""
     size = np.array([len(p) for p in pieces], np.int64)
-    t = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 2
+    t = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int16) + np.int16(2)
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     t[start + size] = 1  # between pieces
-    t = np.concatenate([t, [0]])
+    t = np.concatenate([t, np.zeros(1, np.int16)])
     sa = suffix_array(t)
     shared = common_prefixes(t, sa, length)
     piece = np.searchsorted(start, sa, side="right") - 1
@@ -287,7 +326,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 19) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) per row of docs (doc_id long, text).
 
     Removed is each byte inside a string of `length` bytes (UTF-8) that also starts
@@ -315,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 2 << 2
     )
     asked = rows.where("at is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("places"))
     n = rows.where("at is not null").count()
-    shards = max(shuffle_partitions(docs.sparkSession), n * 2 * length // (16 * shard_bytes))
+    shards = max(shuffle_partitions(docs.sparkSession), n * 2 * length // (64 * shard_bytes))
     alike = Window.partitionBy("key", "bytes")
     of_key = Window.partitionBy("key")
     halves = t.join(asked, "doc_id").mapInArrow(_halves(length), "key long, doc_id long, at long, bytes binary").repartition(shards, "key")

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -448,6 +450,45 @@ def test_repeated_spans_of_made_up_texts(spark):
     assert spans_of(suffix_dedup.repeated_spans(d, shard_bytes=3000)) == brute_spans(docs)
 
 
+def anchor_rows(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    out = suffix_dedup._find(100)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])]))
+    return sorted(map(repr, pa.Table.from_batches(out).to_pylist()))
+
+
+def test_anchors_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    rng = random.Random(4)
+    part = ["".join(rng.choice("abcé ") for _ in range(300)) for _ in range(9)]
+    texts = ["".join(rng.choice(part)[rng.randrange(99) :] for _ in range(n)) for n in (0, 1, 2, 9, 40, 3)] + ["ab" * 900, "z" * 100, "z" * 99, "y" * 401]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (399, 400, 401, 500, 800, 1201)]
+    whole = anchor_rows(texts)
+    monkeypatch.setattr(suffix_dedup, "_BUFFER", 64)
+    assert anchor_rows(texts) == whole
+
+
+def test_suffix_dedup_holds_little_at_a_time():
+    rng = np.random.default_rng(6)
+    word = rng.integers(97, 123, 12 << 20, np.uint8).tobytes().decode()
+    texts = [word[: 8 << 20], *(word[i : i + 4000] for i in range(8 << 20, 12 << 20, 4000))]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([[*range(100, len(t) - 200, 100)] for t in texts])]
+    pieces = [texts[0][i : i + 134].encode() for i in range(0, 4 << 20, 134)]
+    shard = pa.RecordBatch.from_arrays([pa.array(range(len(pieces))), pa.array(range(len(pieces))), pa.array([0] * len(pieces)), pa.array(pieces)], ["key", "doc_id", "at", "bytes"])
+    shard_bytes = suffix_dedup.repeated_spans.__defaults__[1]
+    stages = {
+        "find": (suffix_dedup._find(100), pa.RecordBatch.from_arrays(columns[:2], ["doc_id", "text"])),
+        "halves": (suffix_dedup._halves(100), pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "places"])),
+        "sort": (suffix_dedup._sort_shards(100, shard_bytes), shard),
+    }
+    most = {}
+    for name, (stage, batch) in stages.items():
+        tracemalloc.start()
+        for _ in stage(iter([batch])):
+            pass
+        most[name] = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+    assert max(most.values()) < 150, most
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
     for _ in range(300):
