@@ -13,7 +13,9 @@
    either side; halves whose key occurs once are done. Of halves with the same bytes all
    but the first are marked whole; where a key has different halves, the first of each
    go to shards, and a shard's suffix array with its permuted common prefixes shows which
-   of their strings of `length` bytes are equal; all but the first are marked.
+   of their strings of `length` bytes are equal; all but the first are marked. A key with
+   too many different halves for one shard has each cut in two again, by more bytes on
+   either side, until keys are small or have all `length` bytes, and so one string.
 4. The marks of a document are merged and its text is cut.
 
 Every place in the corpus is compared with every other through the anchors; nothing
@@ -217,31 +219,43 @@ def _find(length: int):
     return find
 
 
-_HALF = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+_HALF = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("core", pa.int32()), ("bytes", pa.binary())])
+_HALF_COLUMNS = "key long, doc_id long, at long, core int, bytes binary"
 
 
-def _halves(length: int):
-    """Of each anchor asked for, the strings of `length` that hold the bytes just before it, and those that hold the bytes just after."""
-    side = (length - GRAM) // 2
+def _halves(length: int, width: int, side: int):
+    """Of each place asked for, the strings of `length` that hold its `width` bytes and `side` more before, and those that hold `side` more after.
+
+    side is at most half of length - width, rounded up, so that no string is left out.
+    core: where in the half the bytes of its key begin. The rows have a text with its
+    places, or a half of a step before, whose core is cut.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
+        rows: list[tuple[int, int, int, int, bytes]] = []
 
         def batch() -> pa.RecordBatch:
             columns = list(map(pa.array, zip(*rows, strict=True), _HALF.types))
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, schema=_HALF)
 
+        def texts_and_places(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[int]]]:
+            if "places" in b.schema.names:
+                for i, x, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places").to_pylist(), strict=True):
+                    yield i, 0, x.as_py().encode(), places
+            else:
+                for i, at, core, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "at", "core", "bytes")), strict=True):
+                    yield i, at, x, [core]
+
         for b in batches:
-            for i, x, places in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("places").to_pylist(), strict=True):
-                raw = x.as_py().encode()
+            for i, at, raw, places in texts_and_places(b):
                 for p in places:
-                    near = (p - side, p + GRAM)
                     if p >= side:
-                        rows.append((_key(b"L" + raw[near[0] : near[1]]), i, max(0, p + GRAM - length), raw[max(0, p + GRAM - length) : p - side + length]))
-                    near = (p, p + GRAM + side)
-                    if near[1] <= len(raw):
-                        rows.append((_key(b"R" + raw[near[0] : near[1]]), i, max(0, p + GRAM + side - length), raw[max(0, p + GRAM + side - length) : p + length]))
+                        start = max(0, p + width - length)
+                        rows.append((_key(b"L" + raw[p - side : p + width]), i, at + start, p - side - start, raw[start : p - side + length]))
+                    if p + width + side <= len(raw):
+                        start = max(0, p + width + side - length)
+                        rows.append((_key(b"R" + raw[p : p + width + side]), i, at + start, p - start, raw[start : p + length]))
                     if len(rows) >= _BATCH:
                         yield batch()
         if rows:
@@ -357,14 +371,28 @@ def repeated_spans(docs: DataFrame, length: int = 100, shard_bytes: int = 1 << 1
     shards = max(shuffle_partitions(docs.sparkSession), n * 2 * length // (64 * shard_bytes))
     alike = Window.partitionBy("key", "bytes")
     of_key = Window.partitionBy("key")
-    halves = t.join(asked, "doc_id").mapInArrow(_halves(length), "key long, doc_id long, at long, bytes binary").repartition(shards, "key")
-    halves = checkpoint(
-        halves.withColumns({"first": F.min(place).over(alike), "least": F.min("bytes").over(of_key), "most": F.max("bytes").over(of_key)})
-        .select("key", "doc_id", "at", (place != F.col("first")).alias("again"), (F.col("least") != F.col("most")).alias("mixed"), F.length("bytes").alias("n"), F.when((place == F.col("first")) & (F.col("least") != F.col("most")), F.col("bytes")).alias("bytes"))
-        .where("(again and n >= {0}) or (mixed and not again)".format(length))
-    )
-    twins = halves.where("again").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
-    sorted_ = halves.where("not again").repartition(shards, "key").sortWithinPartitions("key", "doc_id", "at").select("key", "doc_id", "at", "bytes")
-    marks = rows.where("start is not null").select("doc_id", "start", "end").unionByName(twins).unionByName(sorted_.mapInArrow(_sort_shards(length, shard_bytes), "doc_id long, start long, end long"))
+    marks = rows.where("start is not null").select("doc_id", "start", "end")
+    todo, width, side = t.join(asked, "doc_id"), GRAM, (length - GRAM) // 2
+    while True:
+        halves = todo.mapInArrow(_halves(length, width, side), _HALF_COLUMNS).repartition(shards, "key")
+        halves = (
+            halves.withColumns({"first": F.min(place).over(alike), "least": F.min("bytes").over(of_key), "most": F.max("bytes").over(of_key)})
+            .withColumns({"again": place != F.col("first"), "mixed": F.col("least") != F.col("most"), "n": F.length("bytes")})
+            .withColumn("large", F.sum(F.when(~F.col("again"), F.col("n"))).over(of_key) > 2 * shard_bytes)
+        )
+        halves = checkpoint(
+            halves.where(f"(again and n >= {length}) or (mixed and not again)").select(
+                "key", "doc_id", "at", "core", "again", "large", "n", F.when(~F.col("again"), F.col("bytes")).alias("bytes")
+            )
+        )
+        width += side
+        twins = halves.where("again").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
+        small = F.lit(True) if width >= length else ~F.col("large")
+        sorted_ = halves.where(~F.col("again") & small).repartition(shards, "key").sortWithinPartitions("key", "doc_id", "at").select("key", "doc_id", "at", "bytes")
+        marks = marks.unionByName(twins).unionByName(sorted_.mapInArrow(_sort_shards(length, shard_bytes), "doc_id long, start long, end long"))
+        todo = halves.where(~F.col("again") & ~small).select("doc_id", "at", "core", "bytes")
+        if width >= length or todo.isEmpty():
+            break
+        side = (length - width + 1) // 2
     marks = checkpoint(marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
     return t.join(marks, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")

@@ -450,6 +450,35 @@ def test_repeated_spans_of_made_up_texts(spark):
     assert spans_of(suffix_dedup.repeated_spans(d, shard_bytes=3000)) == brute_spans(docs)
 
 
+def test_a_line_in_many_surroundings_is_split(spark, monkeypatch):
+    rng = random.Random(12)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    line, ends = made("abcdefgh", 130), [made("xyz ", 90) for _ in range(12)]
+    docs = {i: rng.choice(ends) + made("uv", rng.randrange(9)) + line + made("uv", rng.randrange(9)) + rng.choice(ends)[rng.randrange(60) :] for i in range(300)}
+    docs |= {i: line[: rng.randrange(130)] + line[rng.randrange(130) :] for i in range(300, 400)}
+    real = suffix_dedup._sort_shards
+
+    def watched(length, shard_bytes):
+        sort = real(length, shard_bytes)
+
+        def run(batches):
+            def seen():
+                size = {}
+                for b in batches:
+                    for k, x in zip(b.column("key").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+                        size[k] = size.get(k, 0) + len(x)
+                    assert max(size.values(), default=0) <= 2 * shard_bytes
+                    yield b
+
+            return sort(seen())
+
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", watched)
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert spans_of(suffix_dedup.repeated_spans(d, shard_bytes=500)) == brute_spans(docs)
+
+
 def anchor_rows(texts):
     ids = pa.array(range(len(texts)), pa.int64())
     out = suffix_dedup._find(100)(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["doc_id", "text"])]))
@@ -476,7 +505,7 @@ def test_suffix_dedup_holds_little_at_a_time():
     shard_bytes = suffix_dedup.repeated_spans.__defaults__[1]
     stages = {
         "find": (suffix_dedup._find(100), pa.RecordBatch.from_arrays(columns[:2], ["doc_id", "text"])),
-        "halves": (suffix_dedup._halves(100), pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "places"])),
+        "halves": (suffix_dedup._halves(100, 32, 34), pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "places"])),
         "sort": (suffix_dedup._sort_shards(100, shard_bytes), shard),
     }
     most = {}
